@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetry.functions import paths
-from assetry.operators.grouping import PART_SIZE, ordered_list, add_part
+from assetry.functions.naming import format_name
+from assetry.operators.grouping import PART_SIZE, add_part, ordered_list, trait_list
 
 # Kinds of metadata and the directories of a staging tree.
 METADATA_TYPES = ("asset", "file", "asset-chunk", "file-chunk")
@@ -101,7 +102,7 @@ def asset_lists(catalog: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     rows = add_part(rows, ["asset_path"], "filepath", part_size)
     return rows.groupBy("asset_path", "part").agg(
         *[
-            ordered_list(F.col("filepath"), F.col("file_traits")[t]).alias(t)
+            trait_list(F.col("filepath"), F.col("file_traits")[t]).alias(t)
             for t in TRAIT_LISTS
         ]
     )
@@ -136,7 +137,7 @@ def asset_metadata(
         return ordered_list(order, F.when(valid, F.col(column)))
 
     traits = F.struct(
-        *[ordered_list(order, F.col("file_traits")[t]).alias(t) for t in TRAIT_LISTS]
+        *[trait_list(order, F.col("file_traits")[t]).alias(t) for t in TRAIT_LISTS]
     )
     grouped = rows.groupBy(*keys, "part").agg(
         F.max(F.when(valid, F.col("asset_name"))).alias("asset_name"),
@@ -315,8 +316,6 @@ def expand_filepaths(assets: DataFrame, root: Column, specification: str, specs)
 
     Every name field is a list with one value per file.
     """
-    from assetry.functions.naming import format_name
-
     spec = specs[specification]
     fields = tuple(dict.fromkeys([*spec.filename_fields, *spec.asset_name_fields]))
     rows = assets.withColumn("_root", root).select(
