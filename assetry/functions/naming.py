@@ -146,19 +146,27 @@ def _split_layout(fields: Sequence[str], asset_name_fields: Sequence[str]) -> st
     return _SLOT.join(slots)
 
 
-def split_name(
+def rewrite_name(
     name: Column, fields: Sequence[str], asset_name_fields: Sequence[str] = ()
 ) -> Column:
-    """Slots of a name as an array of texts (see `slot_*`), legal name or not;
-    null for a text that holds ``/``."""
-    slots = F.regexp_replace(
+    """Text of the slots of a name, for `split_slots`."""
+    return F.regexp_replace(
         name,
         F.lit(_split_regex(fields)),
         F.lit(_split_layout(fields, asset_name_fields)),
     )
+
+
+def split_slots(name: Column, slots: Column) -> Column:
+    """Slots of a rewritten name as an array of texts (see `slot_*`), whether
+    the name is legal or not; null for a name that holds ``/``."""
     return F.when(F.instr(name, _SLOT) == 0, F.split(slots, _SLOT))
 
 
+def split_name(name: Column, fields: Sequence[str]) -> Column:
+    return split_slots(name, rewrite_name(name, fields))
+
+
 def failed_step(slots: Column) -> Column:
     """Number of the first illegal step, from 1; 0 for a legal name.  Text left
     over after the last step counts as one step more."""
@@ -171,13 +179,19 @@ def failed_step(slots: Column) -> Column:
     )
 
 
-def step_error(name: Column, step: Column, fields: Sequence[str]) -> Column:
-    """Error text of a failed step; null for step 0."""
+def step_texts(fields: Sequence[str]) -> Column:
+    """Error texts of the steps of a name, in order, as a constant array."""
     steps = name_steps(fields)
     texts = [s.error for s in steps]
     texts.append(steps[-1].error if steps[-1].field == "extension" else "Expected end of text")
-    text = F.get(F.split(F.lit("/".join(texts)), "/"), step - 1)
-    return F.when(step > 0, F.concat(text, F.lit(' in "'), name, F.lit('".')))
+    return F.split(F.lit("/".join(texts)), "/")
+
+
+def step_error(name: Column, step: Column, texts: Column) -> Column:
+    """Error text of a failed step; null for step 0."""
+    return F.when(
+        step > 0, F.concat(F.get(texts, step - 1), F.lit(' in "'), name, F.lit('".'))
+    )
 
 
 def slot_asset_name(slots: Column) -> Column:
@@ -190,9 +204,7 @@ def slot_fields(slots: Column) -> list[Column]:
     def text(i: int) -> Column:
         return F.when(slots[i] != "", slots[i])
 
-    coordinate = F.transform(
-        F.split(text(4), TOKEN_SEPARATOR), lambda c: c.try_cast("int")
-    )
+    coordinate = F.split(text(4), TOKEN_SEPARATOR).try_cast("array<int>")
     return [
         text(0).alias("project"),
         text(1).alias("specification"),
@@ -221,7 +233,7 @@ def name_error(name: Column, fields: Sequence[str]) -> Column:
     """Text for the first part of the name that fails; null for a legal name."""
     step = _once(split_name(name, fields), failed_step)
     return _once(
-        F.coalesce(step, F.lit(1)), lambda s: step_error(name, s, fields)
+        F.coalesce(step, F.lit(1)), lambda s: step_error(name, s, step_texts(fields))
     )
 
 

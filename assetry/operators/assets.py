@@ -176,15 +176,17 @@ def row_messages(files: DataFrame, specs: Registry) -> DataFrame:
     """asset_path, check, message: first failure of each rule in each asset, by
     file path.  Reads only the rows that fail a rule of their own specification."""
     c = Compiled(specs)
-    found = []
+    found, any_fails = [], F.lit(False)
     for i, check in enumerate(c.checks):
         if not isinstance(check.rule, Rule):
             continue
         owners = [s for s in c.spec_names if i in c.check_bits(s)]
         value = trait_value(check.trait)
+        fails = F.col("specification").isin(owners) & check.rule.fails(value)
+        any_fails = any_fails | fails
         found.append(
             F.when(
-                F.col("specification").isin(owners) & check.rule.fails(value),
+                fails,
                 F.struct(
                     F.lit(i).alias("check"),
                     check.rule.report(value).alias("message"),
@@ -192,7 +194,8 @@ def row_messages(files: DataFrame, specs: Registry) -> DataFrame:
             )
         )
     return (
-        files.select(
+        files.where(any_fails)
+        .select(
             "asset_path",
             "filepath",
             F.explode_outer(F.array_compact(F.array(*found))).alias("f"),
@@ -265,13 +268,20 @@ def _found(c: Compiled) -> Column:
     return union != 0
 
 
-def asset_table(files: DataFrame, specs: Registry) -> DataFrame:
+def asset_table(
+    files: DataFrame, specs: Registry, failing_only: bool = False
+) -> DataFrame:
     """One row per asset and specification: `n_files`, `n_file_errors`,
-    `asset_error`, null for a sound asset."""
+    `asset_error`, null for a sound asset.
+
+    The files are read twice, so they should be a saved table.
+    """
     c = Compiled(specs)
     rows = _with_findings(asset_bits(files, specs), c)
     messages = row_messages(files, specs)
     extra = set_messages(files, specs)
+    if failing_only and extra is None:
+        rows = rows.where(_found(c))
     if extra is not None:
         messages = messages.unionByName(extra)
     messages = messages.groupBy("asset_path").agg(
@@ -409,7 +419,7 @@ def validate_assets(files: DataFrame, specs: Registry) -> DataFrame:
     """Add `asset_error` (a text, null when sound) and `asset_valid` to every
     file row.  Validity is per row: no asset error, no file error, known
     specification."""
-    assets = asset_table(files, specs)
+    assets = asset_table(files, specs, failing_only=True)
     joined = _join_failures(files, assets, ["asset_error"])
     return joined.withColumn(
         "asset_valid", _row_valid(specs, F.col("asset_error").isNull())

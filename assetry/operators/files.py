@@ -77,14 +77,13 @@ def add_specification(df: DataFrame, specs: Registry) -> DataFrame:
 def add_name_slots(df: DataFrame, specs: Registry) -> DataFrame:
     """Add `_slots`, the split file name, and `_step`, its first illegal step
     (0 for a legal name); both null without a registered specification."""
+    filename = F.col("filename")
     slots = by_spec(
         F.col("specification"),
         specs,
-        lambda s: naming.split_name(
-            F.col("filename"), s.filename_fields, s.asset_name_fields
-        ),
+        lambda s: naming.rewrite_name(filename, s.filename_fields, s.asset_name_fields),
     )
-    df = df.withColumn("_slots", slots.cast("array<string>"))
+    df = df.withColumn("_slots", naming.split_slots(filename, slots.cast("string")))
     return df.withColumn("_step", naming.failed_step(F.col("_slots")))
 
 
@@ -94,14 +93,13 @@ def is_parsed() -> Column:
 
 def add_filename_error(df: DataFrame, specs: Registry) -> DataFrame:
     """Add `filename_error`, the parse error of the name (needs `_step`)."""
-    error = by_spec(
-        F.col("specification"),
-        specs,
-        lambda s: naming.step_error(
-            F.col("filename"), F.coalesce("_step", F.lit(1)), s.filename_fields
-        ),
+    texts = by_spec(
+        F.col("specification"), specs, lambda s: naming.step_texts(s.filename_fields)
+    ).cast("array<string>")
+    step = F.coalesce("_step", F.lit(1))
+    return df.withColumn(
+        "filename_error", naming.step_error(F.col("filename"), step, texts)
     )
-    return df.withColumn("filename_error", error.cast("string"))
 
 
 def expected_asset_name() -> Column:

@@ -24,16 +24,14 @@ def asset_validity(catalog: DataFrame) -> DataFrame:
 def graph_nodes(catalog: DataFrame) -> DataFrame:
     """Every ancestor directory and every asset, once: id (`root` and the path),
     label (its last part), colour."""
-    assets = asset_validity(catalog)
-    above = (
-        assets.select(paths.parent_path(F.col("asset_path")).alias("d"))
-        .distinct()
-        .select(F.explode(F.concat(paths.ancestors(F.col("d")), F.array("d"))).alias("node_id"))
-        .where(F.col("node_id") != "/")
+    directory = F.lit(None).cast("boolean")
+    above = F.transform(
+        paths.ancestors(F.col("asset_path")),
+        lambda d: F.struct(d.alias("node_id"), directory.alias("v")),
     )
-    nodes = above.select("node_id", F.lit(None).cast("boolean").alias("asset_valid"))
-    nodes = nodes.unionByName(assets.withColumnRenamed("asset_path", "node_id"))
-    return nodes.groupBy("node_id").agg(F.max("asset_valid").alias("v")).select(
+    itself = F.array(F.struct(F.col("asset_path").alias("node_id"), F.col("asset_valid").alias("v")))
+    nodes = asset_validity(catalog).select(F.inline(F.concat(above, itself)))
+    return nodes.groupBy("node_id").agg(F.max("v").alias("v")).select(
         F.concat(F.lit(ROOT), "node_id").alias("node_id"),
         paths.file_name(F.col("node_id")).alias("label"),
         F.when(F.col("v"), F.lit(VALID))

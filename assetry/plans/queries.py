@@ -576,12 +576,12 @@ def coordinate_bounds(spark, sf_dir):
 
 @query
 def graph_nodes(spark, sf_dir):
-    return graph.graph_nodes(_saved_catalog(spark, sf_dir))
+    return graph.graph_nodes(_catalog(spark, sf_dir))
 
 
 @query
 def graph_edges(spark, sf_dir):
-    return graph.graph_edges(_saved_catalog(spark, sf_dir))
+    return graph.graph_edges(_catalog(spark, sf_dir))
 
 
 @query
