@@ -183,18 +183,36 @@ def violations(
     return report.where(~F.col("valid")).select(*keys, text.alias("message"))
 
 
+RANGE_STEP = 10_000
+
+
+def expand_range(
+    df: DataFrame, keys: Sequence[str], low: str, high: str, name: str
+) -> DataFrame:
+    """One row per integer from `low` to `high`, in a column `name`.
+
+    A range is first cut into steps, one row each, and the steps are spread over
+    the cluster before they are expanded: no task holds a long range.
+    """
+    start = F.sequence(F.col(low).cast("long"), F.col(high).cast("long"), F.lit(RANGE_STEP))
+    steps = df.withColumn("_start", F.explode(start)).repartition(*keys, "_start")
+    last = F.least(F.col("_start") + RANGE_STEP - 1, F.col(high).cast("long"))
+    dtype = df.schema[low].dataType
+    values = steps.withColumn(name, F.explode(F.sequence(F.col("_start"), last)))
+    return values.withColumn(name, F.col(name).cast(dtype)).drop("_start")
+
+
 def missing_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per integer between a group's lowest and highest that is absent.
 
-    Values are looked at in pairs of neighbours only where a group has gaps, and
-    each gap is expanded on its own row.
+    Only groups with gaps are expanded.
     """
     distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
     spans = distinct.groupBy(*keys).agg(
         F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_n")
     )
     gapped = spans.where(F.col("_high") - F.col("_low") + 1 > F.col("_n"))
-    wanted = gapped.select(*keys, F.explode(F.sequence("_low", "_high")).alias(value))
+    wanted = expand_range(gapped, keys, "_low", "_high", value).select(*keys, value)
     return wanted.join(distinct, [*keys, value], "left_anti")
 
 
@@ -203,8 +221,8 @@ def missing_coordinates(
 ) -> DataFrame:
     """One row per point of a group's bounding box that no coordinate takes.
 
-    Only boxes that are not full are expanded, an axis at a time, and rows are
-    spread again after the first axis so that one large box uses many tasks.
+    Only boxes that are not full are expanded, an axis at a time, spreading the
+    rows over the cluster at each axis so that one large box uses many tasks.
     """
     axes = "xyz"[:dims]
     points = df.select(
@@ -212,14 +230,16 @@ def missing_coordinates(
     ).distinct()
     boxes = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[fn(a).alias(f"_{side}_{a}") for a in axes for fn, side in ((F.min, "min"), (F.max, "max"))],
+        *[
+            fn(a).alias(f"_{side}_{a}")
+            for a in axes
+            for fn, side in ((F.min, "min"), (F.max, "max"))
+        ],
     )
     volume = F.lit(1).cast("long")
     for a in axes:
         volume = volume * (F.col(f"_max_{a}").cast("long") - F.col(f"_min_{a}") + 1)
     wanted = boxes.where(volume > F.col("_n"))
     for i, a in enumerate(axes):
-        wanted = wanted.withColumn(a, F.explode(F.sequence(f"_min_{a}", f"_max_{a}")))
-        if i == 0 and dims > 1:
-            wanted = wanted.repartition(*keys, a)
+        wanted = expand_range(wanted, [*keys, *axes[:i]], f"_min_{a}", f"_max_{a}", a)
     return wanted.select(*keys, *axes).join(points, [*keys, *axes], "left_anti")

@@ -107,3 +107,9 @@ def test_missing_coordinates_against_brute_force(spark):
     counts = {g: Counter(map(tuple, cs)) for g, cs in groups.items()}
     uniform = {r.g: r.valid for r in set_rules.uniform_report(df, ["g"], "c").collect()}
     assert uniform == {g: len(set(c.values())) == 1 for g, c in counts.items()}
+
+
+def test_long_ranges_are_expanded_in_steps(spark):
+    df = spark.createDataFrame([(1, 5), (1, 25_003), (2, 0), (2, 2)], "g int, v int")
+    rows = set_rules.missing_values(df, ["g"], "v").collect()
+    assert sorted((r.g, r.v) for r in rows) == [(1, v) for v in range(6, 25_003)] + [(2, 1)]
