@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assetry.functions import paths
 from assetry.functions.naming import format_name
-from assetry.operators.grouping import PART_SIZE, add_part, ordered_list, trait_list
+from assetry.operators.grouping import PART_SIZE, add_part, collect_lists, null_if_empty
 
 # Kinds of metadata and the directories of a staging tree.
 METADATA_TYPES = ("asset", "file", "asset-chunk", "file-chunk")
@@ -100,11 +100,14 @@ def asset_lists(catalog: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
         "asset_path", "filepath", "file_traits"
     )
     rows = add_part(rows, ["asset_path"], "filepath", part_size)
-    return rows.groupBy("asset_path", "part").agg(
-        *[
-            trait_list(F.col("filepath"), F.col("file_traits")[t]).alias(t)
-            for t in TRAIT_LISTS
-        ]
+    lists = collect_lists(
+        rows,
+        ["asset_path", "part"],
+        "filepath",
+        {t: F.col("file_traits")[t] for t in TRAIT_LISTS},
+    )
+    return lists.select(
+        "asset_path", "part", *[null_if_empty(F.col(t)).alias(t) for t in TRAIT_LISTS]
     )
 
 
@@ -131,24 +134,26 @@ def asset_metadata(
         "file_traits",
     )
     rows = add_part(rows, ["asset_id"], "filepath", part_size)
-    order, valid = F.col("filepath"), F.col("asset_valid")
-
-    def listed(column: str) -> Column:
-        return ordered_list(order, F.when(valid, F.col(column)))
-
-    traits = F.struct(
-        *[trait_list(order, F.col("file_traits")[t]).alias(t) for t in TRAIT_LISTS]
-    )
-    grouped = rows.groupBy(*keys, "part").agg(
-        F.max(F.when(valid, F.col("asset_name"))).alias("asset_name"),
-        listed("file_id").alias("file_ids"),
-        listed("filename").alias("filenames"),
-        listed("filepath").alias("filepaths"),
-        listed("filepath_relative").alias("filepaths_relative"),
-        traits.alias("asset_traits"),
+    valid = F.col("asset_valid")
+    listed = {
+        "names": "asset_name",
+        "file_ids": "file_id",
+        "filenames": "filename",
+        "filepaths": "filepath",
+        "filepaths_relative": "filepath_relative",
+    }
+    lists = collect_lists(
+        rows,
+        [*keys, "part"],
+        "filepath",
+        {n: F.when(valid, F.col(c)) for n, c in listed.items()}
+        | {f"t_{t}": F.col("file_traits")[t] for t in TRAIT_LISTS},
     )
+    traits = F.struct(*[null_if_empty(F.col(f"t_{t}")).alias(t) for t in TRAIT_LISTS])
     return (
-        grouped.where(F.size("file_ids") > 0)
+        lists.where(F.size("file_ids") > 0)
+        .withColumn("asset_name", F.get("names", F.lit(0)))
+        .withColumn("asset_traits", traits)
         .withColumn("asset_path", _content(F.col("asset_path_relative"), staging))
         .select(*ASSET_DOCUMENT, "part")
     )
