@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings.  Above 8000 bytes of byte code the JVM leaves a method
@@ -12,8 +16,31 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as `--py-files` would, once per
+    application.  Spark distributes the file; only the driver reads it here."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="assetry-code-"), "assetry.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, parent))
+    context.addPyFile(archive)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session."""
+    """Apply the runtime settings to a session and ship the package."""
+    ship_package(spark)
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
