@@ -10,6 +10,7 @@ from checks.compare import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+OWN = set(QUERIES) - set(contract.LLM_QUERIES)
 SAMPLE = (
     "listing_columns",
     "parse_filename",
@@ -33,7 +34,7 @@ SAMPLE = (
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert OWN <= set(ORACLE) <= set(QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
