@@ -68,11 +68,7 @@ def map_batches(
 ) -> DataFrame:
     """`make()` runs once per task and gives the function that turns a slice of
     rows into columns (name -> array); the slices stream."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = StructType.fromDDL(schema)
-    arrow = to_arrow_schema(target)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = make()
@@ -83,7 +79,31 @@ def map_batches(
                     [as_array(out[f.name], f.type) for f in arrow], schema=arrow
                 )
 
-    return df.mapInArrow(run, target)
+    return df.mapInArrow(run, schema)
+
+
+_KINDS = {
+    "int": pa.int32(),
+    "long": pa.int64(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()),
+    "array<double>": pa.list_(pa.float64()),
+}
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    """Arrow's form of a "name type, ..." schema; works on executors too."""
+    return pa.schema([(n, _KINDS[k]) for n, k in (f.split() for f in schema.split(","))])
+
+
+def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
+    )
 
 
 def as_array(values, kind: pa.DataType) -> pa.Array:

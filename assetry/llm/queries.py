@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetry.llm import bpe, packing, wavelet
+from assetry.llm import bpe, minhash, packing, substring, wavelet
 from assetry.llm.common import documents
 
 
@@ -17,6 +17,17 @@ def op2_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op5_minhash(spark, sf_dir):
+    found = minhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_substring(spark, sf_dir):
+    return substring.dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).select(
         "doc_id",
@@ -32,6 +43,8 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     "op1_wavelet": op1_wavelet,
     "op2_bpe": op2_bpe,
+    "op5_minhash": op5_minhash,
+    "op6_substring": op6_substring,
     "op10_packing": op10_packing,
 }
 

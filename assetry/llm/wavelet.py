@@ -23,10 +23,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from assetry.llm.common import as_array, new_folder, open_store, row_key, saved, slices
+from assetry.llm.common import arrow_schema, batch_of, new_folder, open_store, row_key, saved, slices
 from assetry.llm.tokens import WordEncoder, tokenizer_path
 
 END_OF_DOCUMENT = 2
@@ -205,8 +203,7 @@ def write(
     """
     folder = folder or new_folder(docs.sparkSession, "wavelet")
     path = tokenizer or tokenizer_path()
-    target = StructType.fromDDL(SHARDS)
-    arrow = to_arrow_schema(target)
+    arrow = arrow_schema(SHARDS)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -229,9 +226,7 @@ def write(
                 out.write(data)
             row = (task, shard, name, len(doc_ids), size, len(data))
             doc_ids, rows, size, shard = [], [], 0, shard + 1
-            return pa.RecordBatch.from_arrays(
-                [as_array([v], f.type) for v, f in zip(row, arrow)], schema=arrow
-            )
+            return batch_of(arrow, [row])
 
         for batch in batches:
             for part in slices(batch, 128):
@@ -251,7 +246,7 @@ def write(
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    return saved(ordered.mapInArrow(run, target), "wavelet-shards")
+    return saved(ordered.mapInArrow(run, SHARDS), "wavelet-shards")
 
 
 def with_starts(shards: DataFrame) -> DataFrame:
@@ -274,8 +269,8 @@ def read(shards: DataFrame) -> DataFrame:
     """Documents of shard files: (doc_id, start, n_tokens, ids), `start` the ids of
     all documents before, `ids` unsigned 32-bit little-endian.  A shard is read by
     one task, and its documents stream out in groups."""
-    schema = StructType.fromDDL("doc_id long, start long, n_tokens long, ids binary")
-    arrow = to_arrow_schema(schema)
+    schema = "doc_id long, start long, n_tokens long, ids binary"
+    arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
