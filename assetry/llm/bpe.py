@@ -81,7 +81,7 @@ class Vocabulary:
 class Words(dict):
     """Ids of the words met, as bytes; emptied when full."""
 
-    LIMIT = 500_000
+    LIMIT = 700_000
 
     def __init__(self, encode_bytes):
         super().__init__()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetry.llm import bpe, minhash, packing, substring, wavelet
-from assetry.llm.common import documents
+from assetry.llm import bpe, minhash, packing, rules, substring, topk, warc, wavelet
+from assetry.llm.common import documents, ship_package
 
 
 def op1_wavelet(spark, sf_dir):
@@ -17,6 +17,12 @@ def op2_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op4_topk(spark, sf_dir):
+    ship_package(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_minhash(spark, sf_dir):
     found = minhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -28,6 +34,29 @@ def op6_substring(spark, sf_dir):
     )
 
 
+def op7_warc(spark, sf_dir):
+    ship_package(spark)
+    archives = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return (
+        warc.read(archives, payload=False)
+        .where("last")
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    )
+
+
+def op8_rules(spark, sf_dir):
+    return rules.apply_policy(rules.ledger(documents(spark, sf_dir))).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).select(
         "doc_id",
@@ -43,9 +72,12 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     "op1_wavelet": op1_wavelet,
     "op2_bpe": op2_bpe,
+    "op4_topk": op4_topk,
     "op5_minhash": op5_minhash,
     "op6_substring": op6_substring,
+    "op7_warc": op7_warc,
+    "op8_rules": op8_rules,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op8_rules": rules.LEDGER_SQL}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from array import array
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -31,7 +33,7 @@ class WordEncoder:
     known gets whole texts (`whole=True`).
     """
 
-    LIMIT = 500_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,7 +54,7 @@ class WordEncoder:
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
@@ -61,7 +63,7 @@ class WordEncoder:
         chunked = [self._chunks(t) for t in texts]
         if len(self.known) > self.LIMIT:
             self.known = {"": b""}
-        new = set().union(*chunked).difference(self.known)
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(chunked)))
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, c)) for c in chunked]
@@ -87,7 +89,12 @@ class WordEncoder:
                 rest.add(chunk[len(stem) :])
         for chunk in rest.difference(self.known):
             self.known[chunk] = self.encode(chunk)
-        new = list(words.difference(self.known))
+        new = words.difference(self.known)
+        # an ASCII letter is its own byte-level letter: such a word needs the model only
+        model, plain = self.tokenizer.model.tokenize, [w for w in new if w.isascii()]
+        for word in plain:
+            self.known[word] = self._bytes([t.id for t in model(word)])
+        new = list(new.difference(plain))
         groups = [new[i : i + _GROUP] for i in range(0, len(new), _GROUP)]
         joined = self.tokenizer.encode_batch_fast(
             [" ".join(g) for g in groups], add_special_tokens=False
