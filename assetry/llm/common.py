@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assetry.session import ship_package
 from assetry.sources.tables import materialized, shared_folder
@@ -65,10 +66,17 @@ def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict]],
     schema: str,
+    keep: bool = False,
 ) -> DataFrame:
     """`make()` runs once per task and gives the function that turns a slice of
-    rows into columns (name -> array); the slices stream."""
+    rows into columns (name -> array); the slices stream.  With `keep` the columns
+    follow those of `df`, of which any with the same names are left out."""
     arrow = arrow_schema(schema)
+    target: str | StructType = schema
+    if keep:
+        df = df.drop(*arrow.names)
+        target = StructType([*df.schema.fields, *StructType.fromDDL(schema).fields])
+    kept = df.columns if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = make()
@@ -76,10 +84,12 @@ def map_batches(
             for part in slices(batch):
                 out = turn(part)
                 yield pa.RecordBatch.from_arrays(
-                    [as_array(out[f.name], f.type) for f in arrow], schema=arrow
+                    [part.column(i) for i in range(len(kept))]
+                    + [as_array(out[f.name], f.type) for f in arrow],
+                    names=[*kept, *arrow.names],
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, target)
 
 
 _KINDS = {

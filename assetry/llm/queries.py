@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetry.llm import bpe, minhash, packing, rules, substring, topk, warc, wavelet
-from assetry.llm.common import documents, ship_package
+from assetry.llm import bpe, minhash, packing, quality, rules, substring, topk, toxicity, warc, wavelet
+from assetry.llm.common import documents, labels, ship_package
 
 
 def op1_wavelet(spark, sf_dir):
@@ -17,6 +17,10 @@ def op2_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir)).drop("clauses")
+
+
 def op4_topk(spark, sf_dir):
     ship_package(spark)
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -57,6 +61,18 @@ def op8_rules(spark, sf_dir):
     )
 
 
+def op9_quality(spark, sf_dir):
+    scored = quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        F.col("quality_evidence").alias("evidence"),
+        "host_mean",
+        "path_mean",
+        F.col("quality_score").alias("score"),
+        F.col("quality_kept").alias("kept"),
+    )
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).select(
         "doc_id",
@@ -72,11 +88,13 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     "op1_wavelet": op1_wavelet,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_topk": op4_topk,
     "op5_minhash": op5_minhash,
     "op6_substring": op6_substring,
     "op7_warc": op7_warc,
     "op8_rules": op8_rules,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
