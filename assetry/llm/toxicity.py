@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech, other).
+Words become symbols (insult, doubtful insult, threat, target, negation, reported
+speech, other).
 Five transducers, composed into one machine, read the symbols of a clause: each
 keeps what it has seen and marks the insults and threats that pass.  What comes
-out are matched clauses of sixteen kinds (insult or threat; plain or negated;
-direct or reported; with or without a target), and only they are scored.  A threat
+out are matched clauses of some kinds (insult, doubtful insult or threat; plain or
+negated; direct or reported; with or without a target), and only they are scored.  A threat
 without a target is no match.
 
 The insult words and stems, and the weight of each kind, are learned from labelled
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from assetry.llm.common import arrow_schema, map_batches, saved
 from assetry.llm.fitting import TRAIN_ROWS, fit_logistic, held_out, sigmoid, training_sample
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = range(7)
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END, DOUBTFUL = range(8)
 # Closed word classes in English, German, French and Spanish.
 THREATS = "kill hurt destroy beat shoot stab strangle punish töten schlagen tuer frapper matar golpear"
 TARGETS = (
@@ -40,12 +41,14 @@ REPORTS = (
 )
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]").findall
 _ENDS = frozenset(".!?;:\n")
-_NEGATED, _REPORTED, _TARGETED, _THREAT = 1, 2, 4, 8
-KINDS = 16
+_NEGATED, _REPORTED, _TARGETED = 1, 2, 4
+_FAMILY = {INSULT: 0, THREAT: 8, DOUBTFUL: 16}
+KINDS = 24
 
 MAX_ENTRIES = 5_000  # learned words and stems that are broadcast, at most
 STEM_LENGTHS = (4, 5, 6)
 STEM_WORDS = 5  # words a stem must be seen with
+LEAST_SHARE, SURE_SHARE = 0.5, 0.9  # toxic clauses among those with an entry
 EVIDENCE = 25.0  # log-likelihood ratio of an entry, at least
 
 
@@ -96,7 +99,7 @@ def _scope(symbol: int, mark: int, reach: int) -> Machine:
             return 0, out
         if kind == symbol:
             return reach, out
-        if kind in (INSULT, THREAT) and left:
+        if kind in _FAMILY and left:
             out = _marked(out, mark)
         return max(0, left - 1), out
 
@@ -130,9 +133,9 @@ def _kinds() -> Machine:
 
     def step(state, out):
         symbol = out & 7
-        if symbol not in (INSULT, THREAT):
+        if symbol not in _FAMILY:
             return state, -1
-        return state, out >> 3 & 7 | (_THREAT if symbol == THREAT else 0)
+        return state, out >> 3 & 7 | _FAMILY[symbol]
 
     return Machine(0, step)
 
@@ -152,16 +155,25 @@ class Symbols(dict):
 
     LIMIT = 500_000
 
-    def __init__(self, words: dict[str, None], stems: list[str]):
+    def __init__(self, entries: dict[str, list[tuple[str, int]]]):
         super().__init__()
         fixed = ((NEGATIONS, NEGATION), (REPORTS, REPORT), (TARGETS, TARGET), (THREATS, THREAT))
         self.fixed = {w: s for text, s in fixed for w in text.split()} | dict.fromkeys(_ENDS, END)
-        self.learned, self.stems = frozenset(words), tuple(stems)
+        self.words = {w: s for w, s in entries.get("words", ())}
+        self.stems = {w: s for w, s in entries.get("stems", ())}
+
+    def _learned(self, word: str) -> int:
+        if word in self.words:
+            return self.words[word]
+        for n in STEM_LENGTHS:
+            if word[:n] in self.stems and len(word) > n:
+                return self.stems[word[:n]]
+        return OTHER
 
     def __missing__(self, word: str) -> int:
         symbol = self.fixed.get(word)
         if symbol is None:
-            symbol = INSULT if word in self.learned or word.startswith(self.stems) else OTHER
+            symbol = self._learned(word)
         if len(word) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -172,9 +184,9 @@ class Symbols(dict):
 class Matcher:
     """Counts the matched clauses of a text by kind."""
 
-    def __init__(self, words, stems):
-        self.symbols = Symbols(words, stems)
-        following, output = grammar().table(range(7))
+    def __init__(self, entries):
+        self.symbols = Symbols(entries)
+        following, output = grammar().table(range(8))
         self.following, self.output = following.tolist(), output.tolist()
 
     def __call__(self, text: str | None) -> list[int]:
@@ -182,10 +194,10 @@ class Matcher:
         if not text:
             return counts
         row = bytes(map(self.symbols.__getitem__, _TOKENS(text.lower())))
-        if INSULT not in row and THREAT not in row:
+        if not any(symbol in row for symbol in _FAMILY):
             return counts
         for clause in row.split(bytes([END])):
-            if INSULT in clause or THREAT in clause:
+            if any(symbol in clause for symbol in _FAMILY):
                 state, seen = 0, set()
                 for symbol in clause:
                     kind = self.output[state][symbol]
@@ -198,22 +210,25 @@ class Matcher:
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    return np.log1p(counts)
+    """A first matched clause of a kind counts one, each further one less."""
+    return np.log2(1 + counts)
 
 
 def prior_weights() -> np.ndarray:
     """Where nothing is learned: a match speaks for toxicity, less so if negated or
     reported, more so with a target or as a threat; the constant against it."""
     out = []
-    for threat, target, report, negated in product((0, 1), repeat=4):
-        w = 4.0 + threat + 0.5 * target - 2.0 * report - 2.5 * negated
-        out.append(w)
-    return np.array([*out, -2.5])
+    for family, target, report, negated in product((6.0, 7.0, 2.5), (0, 1), (0, 1), (0, 1)):
+        out.append(family + 0.5 * target - 2.5 * report - 3.0 * negated)
+    return np.array([*out, -4.0])
 
 
-def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Insult words and stems of labelled rows (text, y): those that mark toxic
-    documents beyond chance.  A stem must come with several endings."""
+def lexicon(sample: DataFrame) -> dict[str, list[tuple[str, int]]]:
+    """Insult words and stems of labelled rows (text, y): those that mark clauses of
+    toxic documents beyond chance.  A clause counts once, however many copies the
+    sample has of it, and as clean if a clean document has it.  A stem must come with
+    several endings.  Entries that clean clauses have too, in one of ten or more, are
+    doubtful.  Gives the symbol of each word and stem."""
     schema = arrow_schema("word string, toxic long, clean long")
 
     def count(batches):
@@ -227,38 +242,41 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
                 schema=schema,
             )
 
-    n = sample.agg(
+    clause = F.explode(F.split(F.lower("text"), r"[.!?;:\n]"))
+    clauses = saved(
+        sample.select("y", clause.alias("text")).groupBy("text").agg(F.min("y").alias("y")), "clauses"
+    )
+    n = clauses.agg(
         F.count(F.when(F.col("y") == 1, 1)).alias("toxic"), F.count(F.when(F.col("y") == 0, 1)).alias("clean")
     ).first()
     if not n.toxic or not n.clean:
-        return [], []
+        return {}
     words = saved(
-        sample.select("text", "y")
-        .mapInArrow(count, "word string, toxic long, clean long")
+        clauses.mapInArrow(count, "word string, toxic long, clean long")
         .groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
         "word-counts",
     )
     share = n.toxic / (n.toxic + n.clean)
 
-    def telling(df: DataFrame, least_share: float) -> DataFrame:
+    def telling(df: DataFrame) -> list[tuple[str, int]]:
         a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
 
         def part(k, p):
             return F.when(k > 0, k * F.log(k / ((a + b) * p))).otherwise(0.0)
 
-        return (
+        found = (
             df.where("toxic > 0")
             .withColumn("evidence", 2 * (part(a, share) + part(b, 1 - share)))
-            .where((F.col("evidence") >= EVIDENCE) & (a >= least_share * (a + b)))
+            .where((F.col("evidence") >= EVIDENCE) & (a >= LEAST_SHARE * (a + b)))
             .orderBy(F.desc("evidence"), "word")
             .limit(MAX_ENTRIES)
+            .select("word", (a >= SURE_SHARE * (a + b + 1)).alias("sure"))
         )
+        return [(r.word, INSULT if r.sure else DOUBTFUL) for r in found.collect()]
 
     by_stem = (
-        words.where(F.col("toxic") > 0)
-        .unionByName(words.where(F.col("toxic") == 0))
-        .withColumn("size", F.explode(F.array(*map(F.lit, STEM_LENGTHS))))
+        words.withColumn("size", F.explode(F.array(*map(F.lit, STEM_LENGTHS))))
         .where(F.length("word") > F.col("size"))
         .groupBy(F.expr("substr(word, 1, size)").alias("word"))
         .agg(
@@ -268,24 +286,17 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
         )
         .where(F.col("endings") >= STEM_WORDS)
     )
-    whole = [r.word for r in telling(words, 0.5).select("word").collect()]
-    stems = [r.word for r in telling(by_stem, 0.9).select("word").collect()]
-    # of stems that begin with one another the shortest is enough
-    kept: list[str] = []
-    for stem in sorted(stems):
-        if not kept or not stem.startswith(kept[-1]):
-            kept.append(stem)
-    return whole, kept
+    return {"words": telling(words), "stems": telling(by_stem)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Model from labelled rows that are not held out: words, stems, and the weight
-    of each kind.  At most `rows` rows, and MAX_ENTRIES words and stems each."""
+    """Model from labelled rows that are not held out: insult words and stems, and the
+    weight of each kind.  At most `rows` rows, and MAX_ENTRIES words and stems each."""
     sample = saved(training_sample(docs, labels, "toxic", rows), "toxic-sample")
-    words, stems = lexicon(sample)
+    entries = lexicon(sample)
 
     def make():
-        match = Matcher(words, stems)
+        match = Matcher(entries)
 
         def turn(batch):
             return {
@@ -295,12 +306,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 
         return turn
 
-    # at most `rows` rows of sixteen numbers
+    # at most `rows` rows of a few numbers
     seen = map_batches(sample.select("text", "y"), make, "y int, counts array<long>").collect()
     x = features(np.array([r.counts for r in seen], dtype=float).reshape(-1, KINDS))
     y = np.array([r.y for r in seen], dtype=float)
-    weights = fit_logistic(x, y, prior_weights(), strength=1.0)
-    return {"words": words, "stems": stems, "weights": weights}
+    weights = fit_logistic(x, y, prior_weights(), strength=0.1)
+    return {"entries": entries, "weights": weights}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -310,7 +321,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     weights = model["weights"]
 
     def make():
-        match = Matcher(model["words"], model["stems"])
+        match = Matcher(model["entries"])
 
         def turn(batch):
             counts = [match(t) for t in batch.column("text").to_pylist()]
