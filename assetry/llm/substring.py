@@ -374,12 +374,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` (doc_id, text) with `ranges`, null where nothing repeats."""
-    own = docs.select("doc_id", "text")
+    """All columns of `docs` (doc_id, text, ...) and `ranges`, null where nothing
+    repeats."""
+    names = [c for c in docs.columns if c not in ("k1", "k2", "ranges")]
     return (
-        _keyed(own)
+        _keyed(docs.select(*names))
         .join(repeats(docs, window), ["k1", "k2"], "left")
-        .select("doc_id", "text", "ranges")
+        .select(*names, "ranges")
     )
 
 
@@ -419,5 +420,5 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return turn
 
     return map_batches(
-        with_repeats(docs, window), make, "doc_id long, n_words long, n_removed long, text string"
+        with_repeats(docs.select("doc_id", "text"), window), make, "doc_id long, n_words long, n_removed long, text string"
     )
