@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,10 +41,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs: it does so
-    once their objects on the driver are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished jobs: it does so once
+    their objects on the driver are collected as garbage.  The last job's are held by
+    the events about its end for a moment, hence the pause."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def row_key(*names: str):
