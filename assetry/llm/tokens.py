@@ -93,7 +93,7 @@ class WordEncoder:
         # an ASCII letter is its own byte-level letter: such a word needs the model only
         model, plain = self.tokenizer.model.tokenize, [w for w in new if w.isascii()]
         for word in plain:
-            self.known[word] = self._bytes([t.id for t in model(word)])
+            self.known[word] = self._bytes([t.id for t in model(word.lower())])
         new = list(new.difference(plain))
         groups = [new[i : i + _GROUP] for i in range(0, len(new), _GROUP)]
         joined = self.tokenizer.encode_batch_fast(
