@@ -56,6 +56,8 @@ ASSET_DOCUMENT = (
     "filenames",
     "filepaths",
     "filepaths_relative",
+    "part",
+    "n_parts",
 )
 
 
@@ -111,32 +113,45 @@ def asset_lists(catalog: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     )
 
 
+def _named_files(catalog: DataFrame) -> DataFrame:
+    """Files of assets without an error of their own: those that documents cover."""
+    return with_ids(catalog.where(F.col("asset_path").isNotNull() & F.col("asset_error").isNull()))
+
+
+def published_assets(catalog: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """asset_id, asset_name, n_parts of every asset with at least one valid file; the
+    name is that of its first valid file."""
+    valid = F.col("asset_valid")
+    return (
+        _named_files(catalog)
+        .groupBy("asset_id")
+        .agg(
+            F.min(F.when(valid, F.struct("filepath", "asset_name"))).alias("first"),
+            F.ceil(F.count("*") / part_size).alias("n_parts"),
+        )
+        .where(F.col("first").isNotNull())
+        .select("asset_id", F.col("first.asset_name").alias("asset_name"), "n_parts")
+    )
+
+
 def asset_metadata(
     catalog: DataFrame, staging: str, part_size: int = PART_SIZE
 ) -> DataFrame:
-    """One document per asset with at least one valid file.
+    """Documents of every asset with at least one valid file.
 
     Lists hold the valid files in path order; `filepaths` are source paths.
-    `asset_traits` covers all files of the asset.  Documents of more than
-    `part_size` files come in numbered parts, so no task builds a longer list.
+    `asset_traits` covers all files of the asset.  A document covers up to
+    `part_size` files, so no task builds a longer list; an asset's documents are
+    numbered by `part`, of `n_parts`, and put together in that order they are the
+    same whatever the size.  A part without a valid file has empty lists.
     """
-    keys = ["asset_id", "asset_path", "asset_path_relative", "asset_type"]
-    rows = with_ids(
-        catalog.where(F.col("asset_path").isNotNull() & F.col("asset_error").isNull())
-    ).select(
-        *keys,
-        "asset_name",
-        "asset_valid",
-        "file_id",
-        "filename",
-        "filepath",
-        "filepath_relative",
-        "file_traits",
+    keys = ["asset_id", "asset_path_relative", "asset_type"]
+    rows = _named_files(catalog).select(
+        *keys, "asset_valid", "file_id", "filename", "filepath", "filepath_relative", "file_traits"
     )
     rows = add_part(rows, ["asset_id"], "filepath", part_size)
     valid = F.col("asset_valid")
     listed = {
-        "names": "asset_name",
         "file_ids": "file_id",
         "filenames": "filename",
         "filepaths": "filepath",
@@ -151,14 +166,21 @@ def asset_metadata(
     )
     traits = F.struct(*[null_if_empty(F.col(f"t_{t}")).alias(t) for t in TRAIT_LISTS])
     return (
-        lists.where(F.size("file_ids") > 0)
-        .withColumn("asset_name", F.get("names", F.lit(0)))
+        lists.join(published_assets(catalog, part_size), "asset_id")
         .withColumn("asset_traits", traits)
         .withColumn("asset_path", _content(F.col("asset_path_relative"), staging))
-        .select(*ASSET_DOCUMENT, "part")
+        .select(*ASSET_DOCUMENT)
     )
 
 
+def document_file(kind: str, part: Column | None = None) -> Column:
+    """Place of a document below `metadata`; parts after the first are numbered."""
+    name = F.concat(F.lit(f"{kind}/"), F.col(f"{kind}_id"))
+    if part is not None:
+        name = F.concat(name, F.when(part > 0, F.concat(F.lit("."), part)).otherwise(F.lit("")))
+    return F.concat(name, F.lit(".json"))
+
+
 def json_lines(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One JSON text per document, in a column `value`."""
     return documents.select(F.to_json(F.struct(*fields)).alias("value"))
@@ -168,46 +190,49 @@ def document_targets(
     documents: DataFrame, kind: str, fields: Sequence[str], staging: str
 ) -> DataFrame:
     """Documents as (target, value): one JSON file per document."""
-    folder = f"{staging.rstrip('/')}/metadata/{kind}/"
-    name = F.col(f"{kind}_id")
-    if "part" in documents.columns:
-        name = F.concat(
-            name, F.when(F.col("part") > 0, F.concat(F.lit("."), F.col("part"))).otherwise(F.lit(""))
-        )
+    part = F.col("part") if "part" in documents.columns else None
     return documents.select(
-        F.concat(F.lit(folder), name, F.lit(".json")).alias("target"),
+        F.concat(F.lit(f"{staging.rstrip('/')}/metadata/"), document_file(kind, part)).alias("target"),
         F.to_json(F.struct(*fields)).alias("value"),
     )
 
 
 def metadata_documents(
-    catalog: DataFrame, staging: str, kinds: Sequence[str] = METADATA_TYPES
+    catalog: DataFrame,
+    staging: str,
+    kinds: Sequence[str] = METADATA_TYPES,
+    part_size: int = PART_SIZE,
 ) -> DataFrame:
-    """metadata_type, id, value of all documents of the kinds asked for."""
+    """metadata_type, id, part, value of all documents of the kinds asked for; file
+    documents have part 0.  A chunk holds the documents of its kind, which are made
+    once for both."""
     unknown = sorted(set(kinds) - set(METADATA_TYPES))
     if unknown:
-        raise ValueError(f"{unknown} are not one of {list(METADATA_TYPES)}.")
-    parts = []
-    for kind in kinds:
-        if kind.startswith("asset"):
-            docs, fields, key = asset_metadata(catalog, staging), ASSET_DOCUMENT, "asset_id"
-        else:
-            docs, fields, key = file_metadata(catalog, staging), FILE_DOCUMENT, "file_id"
-        parts.append(
-            docs.select(
-                F.lit(kind).alias("metadata_type"),
-                F.col(key).alias("id"),
-                F.to_json(F.struct(*fields)).alias("value"),
+        raise ValueError(f"No metadata is called {', '.join(unknown)}; there is {', '.join(METADATA_TYPES)}.")
+    found = []
+    for family, fields in (("asset", ASSET_DOCUMENT), ("file", FILE_DOCUMENT)):
+        own = [k for k in kinds if k.startswith(family)]
+        if own:
+            if family == "asset":
+                docs = asset_metadata(catalog, staging, part_size)
+            else:
+                docs = file_metadata(catalog, staging).withColumn("part", F.lit(0).cast("long"))
+            found.append(
+                docs.select(
+                    F.explode(F.array(*map(F.lit, own))).alias("metadata_type"),
+                    F.col(f"{family}_id").alias("id"),
+                    "part",
+                    F.to_json(F.struct(*fields)).alias("value"),
+                )
             )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
-def object_keys(catalog: DataFrame, staging: str, prefix: str) -> DataFrame:
-    """Keys under which an object store holds contents and documents."""
+def object_keys(
+    catalog: DataFrame, staging: str, prefix: str, part_size: int = PART_SIZE
+) -> DataFrame:
+    """Keys under which an object store holds contents and documents, one for each
+    part of an asset."""
     prefix = prefix.rstrip("/") + "/"
     files = with_ids(valid_files(catalog))
     content = files.select(
@@ -216,16 +241,19 @@ def object_keys(catalog: DataFrame, staging: str, prefix: str) -> DataFrame:
         _content(F.col("filepath_relative"), staging).alias("source"),
     )
 
-    def metadata(kind: str) -> DataFrame:
-        file = F.concat(F.lit(f"metadata/{kind}/"), F.col(f"{kind}_id"), F.lit(".json"))
-        return files.select(
+    def metadata(rows: DataFrame, kind: str, part: Column | None = None) -> DataFrame:
+        file = F.concat(F.lit("metadata/"), document_file(kind, part))
+        return rows.select(
             F.lit(kind).alias("kind"),
             F.concat(F.lit(prefix), file).alias("object_key"),
             F.concat(F.lit(staging.rstrip("/") + "/"), file).alias("source"),
         )
 
-    return content.unionByName(metadata("file")).unionByName(
-        metadata("asset").distinct()
+    parts = published_assets(catalog, part_size).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))
+    )
+    return content.unionByName(metadata(files, "file")).unionByName(
+        metadata(parts, "asset", F.col("part"))
     )
 
 

@@ -24,6 +24,8 @@ from assetry.specs import LISTING_SPECS, Spec, registry, spec_table, trait
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPECS = LISTING_SPECS
+# Files of a document or list in these queries: few, so that assets span several.
+PART_SIZE = 4
 QUERIES: dict[str, Query] = {}
 
 
@@ -109,7 +111,7 @@ def file_chunk(spark, sf_dir):
 
 @query
 def asset_metadata(spark, sf_dir):
-    docs = publish.asset_metadata(_saved_catalog(spark, sf_dir), STAGING)
+    docs = publish.asset_metadata(_saved_catalog(spark, sf_dir), STAGING, PART_SIZE)
     for lists in ("file_ids", "filenames", "filepaths", "filepaths_relative"):
         docs = docs.withColumn(lists, _text(F.col(lists)))
     return docs.withColumn("asset_traits", F.to_json("asset_traits"))
@@ -117,15 +119,16 @@ def asset_metadata(spark, sf_dir):
 
 @query
 def asset_chunk(spark, sf_dir):
-    docs = publish.asset_metadata(_saved_catalog(spark, sf_dir), STAGING)
+    docs = publish.asset_metadata(_saved_catalog(spark, sf_dir), STAGING, PART_SIZE)
     return publish.json_lines(docs, publish.ASSET_DOCUMENT)
 
 
 @query
 def metadata_by_type(spark, sf_dir):
-    docs = publish.metadata_documents(_saved_catalog(spark, sf_dir), STAGING)
-    chosen = metadata.metadata_of_type(docs, ["asset", "file"])
-    return chosen.select("metadata_type", "id", F.length("value").alias("n_chars"))
+    docs = publish.metadata_documents(
+        _saved_catalog(spark, sf_dir), STAGING, ["asset", "file"], PART_SIZE
+    )
+    return docs.select("metadata_type", "id", "part", F.sha2("value", 256).alias("value_sha256"))
 
 
 @query
@@ -141,7 +144,7 @@ def copy_plan(spark, sf_dir):
 
 @query
 def export_object_keys(spark, sf_dir):
-    return publish.object_keys(_saved_catalog(spark, sf_dir), STAGING, "catalog")
+    return publish.object_keys(_saved_catalog(spark, sf_dir), STAGING, "catalog", PART_SIZE)
 
 
 @query
@@ -525,6 +528,7 @@ def to_prototype(spark, sf_dir):
             "widths": F.col("width"),
             "odd_lines": F.when(F.col("ln") % 2 == 1, F.col("ln")),
         },
+        PART_SIZE,
     )
     return lists.select(
         "ok", "part", *[_text(F.col(c)).alias(c) for c in ("filenames", "widths", "odd_lines")]
@@ -544,14 +548,14 @@ def map_prototype(spark, sf_dir):
             lambda _, v: v.isNotNull(),
         ).alias("traits"),
     )
-    lists = grouping.map_prototype(table, ["ok"], "filepath", "traits")
+    lists = grouping.map_prototype(table, ["ok"], "filepath", "traits", PART_SIZE)
     return lists.select("ok", "trait", "part", _text(F.col("values")).alias("values"))
 
 
 @query
 def asset_traits(spark, sf_dir):
     rows = materialized(_rows(spark, sf_dir).select("asset_path", "filepath", "file_traits"), "traits")
-    lists = publish.asset_lists(rows)
+    lists = publish.asset_lists(rows, PART_SIZE)
     return lists.select(
         "asset_path", "part", F.to_json(F.struct(*publish.TRAIT_LISTS)).alias("asset_traits")
     )

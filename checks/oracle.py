@@ -197,8 +197,12 @@ file_docs AS (
     SELECT asset_id, staged_asset AS asset_path, asset_path_relative, asset_name, asset_type,
            file_id, file_traits, filename, staged_file AS filepath, filepath_relative
     FROM valid),
+places AS (
+    SELECT filepath, (row_number() OVER (PARTITION BY asset_path ORDER BY filepath) - 1) // 4 AS part,
+           CAST(ceil(count(*) OVER (PARTITION BY asset_path) / 4) AS BIGINT) AS n_parts
+    FROM rows WHERE asset_path IS NOT NULL),
 trait_lists AS (
-    SELECT asset_path, '{{' || concat_ws(',',
+    SELECT asset_path, part, n_parts, '{{' || concat_ws(',',
         '"project":' || CAST(to_json(list(project ORDER BY filepath) FILTER (WHERE project IS NOT NULL)) AS VARCHAR),
         CASE WHEN count(project) > 0 THEN '"specification":' || CAST(to_json(list(specification ORDER BY filepath) FILTER (WHERE good)) AS VARCHAR) END,
         '"descriptor":' || CAST(to_json(list(descriptor ORDER BY filepath) FILTER (WHERE descriptor IS NOT NULL)) AS VARCHAR),
@@ -210,15 +214,21 @@ trait_lists AS (
         '"height":' || CAST(to_json(list(trait_height ORDER BY filepath) FILTER (WHERE trait_height IS NOT NULL)) AS VARCHAR),
         '"channels":' || CAST(to_json(list(trait_channels ORDER BY filepath) FILTER (WHERE trait_channels IS NOT NULL)) AS VARCHAR)
         ) || '}}' AS asset_traits
-    FROM rows WHERE asset_path IS NOT NULL GROUP BY asset_path),
+    FROM rows JOIN places USING (filepath) GROUP BY asset_path, part, n_parts),
+heads AS (
+    SELECT asset_id, asset_path, staged_asset, asset_path_relative, asset_type,
+           arg_min(asset_name, filepath) AS asset_name
+    FROM valid GROUP BY asset_id, asset_path, staged_asset, asset_path_relative, asset_type),
 asset_lists AS (
-    SELECT asset_id, asset_path, staged_asset, asset_path_relative, asset_name, asset_type,
-           list(file_id ORDER BY filepath) AS file_ids, list(filename ORDER BY filepath) AS filenames,
+    SELECT asset_path, part, list(file_id ORDER BY filepath) AS file_ids, list(filename ORDER BY filepath) AS filenames,
            list(filepath ORDER BY filepath) AS filepaths,
            list(filepath_relative ORDER BY filepath) AS filepaths_relative
-    FROM valid GROUP BY ALL),
+    FROM valid JOIN places USING (filepath) GROUP BY asset_path, part),
 asset_docs AS (
-    SELECT l.*, t.asset_traits FROM asset_lists l JOIN trait_lists t USING (asset_path))"""
+    SELECT h.*, t.part, t.n_parts, t.asset_traits, coalesce(file_ids, []) AS file_ids,
+           coalesce(filenames, []) AS filenames, coalesce(filepaths, []) AS filepaths,
+           coalesce(filepaths_relative, []) AS filepaths_relative
+    FROM heads h JOIN trait_lists t USING (asset_path) LEFT JOIN asset_lists l USING (asset_path, part))"""
 
 _DATA = """
 data AS (
@@ -256,7 +266,8 @@ _ASSET_JSON = """'{"asset_id":"' || asset_id || '","asset_path":"' || staged_ass
     || '","file_ids":' || CAST(to_json(file_ids) AS VARCHAR)
     || ',"filenames":' || CAST(to_json(filenames) AS VARCHAR)
     || ',"filepaths":' || CAST(to_json(filepaths) AS VARCHAR)
-    || ',"filepaths_relative":' || CAST(to_json(filepaths_relative) AS VARCHAR) || '}'"""
+    || ',"filepaths_relative":' || CAST(to_json(filepaths_relative) AS VARCHAR)
+    || ',"part":' || part || ',"n_parts":' || n_parts || '}'"""
 
 
 def _ancestors(source: str, column: str, first: int = 2) -> str:
@@ -318,13 +329,13 @@ ORACLE: dict[str, str] = {
     "asset_metadata": f"""{PUBLISH} SELECT asset_id, staged_asset AS asset_path, asset_path_relative,
         asset_name, asset_traits, asset_type, array_to_string(file_ids, ',') AS file_ids,
         array_to_string(filenames, ',') AS filenames, array_to_string(filepaths, ',') AS filepaths,
-        array_to_string(filepaths_relative, ',') AS filepaths_relative, CAST(0 AS BIGINT) AS part
+        array_to_string(filepaths_relative, ',') AS filepaths_relative, part, n_parts
         FROM asset_docs""",
     "asset_chunk": f"{PUBLISH} SELECT {_ASSET_JSON} AS value FROM asset_docs",
     "metadata_by_type": f"""{PUBLISH}
-        SELECT 'file' AS metadata_type, file_id AS id, CAST(length({_FILE_JSON}) AS INTEGER) AS n_chars FROM file_docs
-        UNION ALL
-        SELECT 'asset', asset_id, CAST(length({_ASSET_JSON}) AS INTEGER) FROM asset_docs""",
+        SELECT 'file' AS metadata_type, file_id AS id, CAST(0 AS BIGINT) AS part,
+               sha256({_FILE_JSON}) AS value_sha256 FROM file_docs
+        UNION ALL SELECT 'asset', asset_id, part, sha256({_ASSET_JSON}) FROM asset_docs""",
     "export_content_manifest": f"""{PUBLISH} SELECT filepath AS source,
         '/export/content/' || filepath_relative AS target FROM file_docs""",
     "copy_plan": f"{PUBLISH} SELECT filepath AS source, staged_file AS target FROM valid",
@@ -333,8 +344,9 @@ ORACLE: dict[str, str] = {
                staged_file AS source FROM valid
         UNION ALL SELECT 'file', 'catalog/metadata/file/' || file_id || '.json',
                '/staging/metadata/file/' || file_id || '.json' FROM valid
-        UNION ALL SELECT DISTINCT 'asset', 'catalog/metadata/asset/' || asset_id || '.json',
-               '/staging/metadata/asset/' || asset_id || '.json' FROM valid""",
+        UNION ALL SELECT 'asset', 'catalog/metadata/asset/' || name, '/staging/metadata/asset/' || name
+        FROM (SELECT asset_id || CASE WHEN part > 0 THEN '.' || part ELSE '' END || '.json' AS name
+              FROM asset_docs)""",
     "export_folders": f"""{PUBLISH}, held AS (
             SELECT '/' || regexp_extract(filepath_relative, '^(.*)/[^/]+$', 1) AS d FROM valid),
         every AS ({_ancestors("held", "d")}),
@@ -444,19 +456,21 @@ ORACLE: dict[str, str] = {
                 SELECT ok, min(ln) AS lo, max(ln) AS hi FROM points GROUP BY ok))
         SELECT ok, CAST(ln AS INTEGER) AS ln FROM (
             SELECT ok, ln FROM wanted EXCEPT SELECT ok, ln FROM points)""",
-    "to_prototype": f"""{LISTING} SELECT ok, CAST(0 AS BIGINT) AS part,
+    "to_prototype": f"""{LISTING}, placed AS (
+            SELECT *, (row_number() OVER (PARTITION BY ok ORDER BY filepath) - 1) // 4 AS part FROM listing)
+        SELECT ok, part,
         string_agg(filename, ',' ORDER BY filepath) AS filenames,
         coalesce(string_agg(CAST(width AS VARCHAR), ',' ORDER BY filepath), '') AS widths,
         coalesce(string_agg(CAST(ln AS VARCHAR), ',' ORDER BY filepath) FILTER (WHERE ln % 2 = 1), '') AS odd_lines
-        FROM listing GROUP BY ok""",
+        FROM placed GROUP BY ok, part""",
     "map_prototype": f"""{LISTING}, long AS (
             SELECT ok, filepath, 'width' AS trait, width AS value FROM listing WHERE width IS NOT NULL
             UNION ALL SELECT ok, filepath, 'line', ln FROM listing
             UNION ALL SELECT ok, filepath, 'part', pk FROM listing WHERE pk % 2 = 0)
-        SELECT ok, trait, CAST(0 AS BIGINT) AS part,
-               string_agg(CAST(value AS VARCHAR), ',' ORDER BY filepath) AS "values"
-        FROM long GROUP BY ok, trait""",
-    "asset_traits": f"""{PUBLISH} SELECT asset_path, CAST(0 AS BIGINT) AS part, asset_traits
+        SELECT ok, trait, part, string_agg(CAST(value AS VARCHAR), ',' ORDER BY filepath) AS "values"
+        FROM (SELECT *, (row_number() OVER (PARTITION BY ok, trait ORDER BY filepath) - 1) // 4 AS part
+              FROM long) GROUP BY ok, trait, part""",
+    "asset_traits": f"""{PUBLISH} SELECT asset_path, part, asset_traits
         FROM trait_lists""",
     "read_assets": f"""{CATALOG} SELECT arg_min(filename, filepath) AS filename, min(filepath) AS filepath,
         arg_min(file_error, filepath) FILTER (WHERE file_error IS NOT NULL) AS file_error,
