@@ -135,7 +135,9 @@ def progress_message(step: Column, total: Column, message: Column) -> Column:
 def redact(
     df: DataFrame, pattern: str = REDACT_REGEX, hashed: bool = False
 ) -> DataFrame:
-    """Hide the values of all columns and struct fields whose name matches."""
+    """Hide the values of all columns, struct fields and map entries whose name
+    matches, at any depth, also within arrays.  Values of maps keep one type: where
+    it is not text, the map becomes one of JSON texts."""
     regex = re.compile(pattern)
 
     def hidden(value: Column) -> Column:
@@ -144,7 +146,7 @@ def redact(
         return F.lit(REDACTED)
 
     def visit(value: Column, name: str, dtype: T.DataType) -> Column:
-        if regex.search(name):
+        if name and regex.search(name):
             if hashed and isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
                 value = F.to_json(value)
             return hidden(value)
@@ -154,6 +156,21 @@ def redact(
                 for f in dtype.fields
             ]
             return F.when(value.isNotNull(), F.struct(*fields))
+        if isinstance(dtype, T.ArrayType):
+            return F.transform(value, lambda v: visit(v, "", dtype.elementType))
+        if isinstance(dtype, T.MapType):
+            inner = dtype.valueType
+
+            def entry(key: Column, v: Column) -> Column:
+                shown = visit(v, "", inner)
+                if isinstance(inner, (T.StructType, T.ArrayType, T.MapType)):
+                    shown = v_text = F.to_json(shown)
+                else:
+                    shown = v_text = shown.cast("string")
+                secret = hidden(v_text) if hashed else hidden(v)
+                return F.when(key.cast("string").rlike(pattern), secret).otherwise(shown)
+
+            return F.transform_values(value, entry)
         return value
 
     return df.select(

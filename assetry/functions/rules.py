@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -31,12 +33,18 @@ _END = r"\z"
 
 @dataclass(frozen=True)
 class Rule:
-    """Rule on single values.  Rules with equal name and args are one rule."""
+    """Rule on single values.  Rules of equal name with equal arguments of equal
+    types are one rule; rules of the user's own also need the same functions."""
 
     name: str
     args: tuple = ()
     passes: Predicate = field(compare=False, default=None)
     report: Predicate = field(compare=False, default=None)
+    own: tuple = ()
+    kinds: tuple = field(init=False, default=())
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "kinds", tuple(type(a).__name__ for a in self.args))
 
     def fails(self, value: Column) -> Column:
         """True where the value is present and does not pass; never null."""
@@ -62,7 +70,7 @@ def as_text(value: Column) -> Column:
 
 def each(name: str, passes: Predicate, report: Predicate, args: Sequence = ()) -> Rule:
     """Make a rule of your own from two column functions."""
-    return Rule(name, tuple(args), passes, report)
+    return Rule(name, tuple(args), passes, report, (passes, report))
 
 
 def _quoted(what: str) -> Predicate:
@@ -126,11 +134,23 @@ def is_extension() -> Rule:
     return Rule("extension", (), lambda v: v.rlike(regex), _quoted("extension"))
 
 
+def _like(value: Column, other: Any) -> Column:
+    """The value as what it is compared with; null where it cannot be read so, which
+    no rule passes.  A text trait never ends the job over a number."""
+    if isinstance(other, bool):
+        return value.try_cast("boolean")
+    if isinstance(other, (int, float)):
+        return value.try_cast("double")
+    if isinstance(other, str):
+        return value.cast("string")
+    return value
+
+
 def _compare(name: str, sign: str, other: Any, passes: Predicate) -> Rule:
     return Rule(
         name,
         (other,),
-        passes,
+        lambda v: passes(_like(v, other)),
         lambda v: F.concat(as_text(v), F.lit(f" {sign} {other}.")),
     )
 
@@ -160,7 +180,7 @@ def is_in(options: Sequence) -> Rule:
     return Rule(
         "in",
         options,
-        lambda v: v.isin(list(options)),
+        lambda v: reduce(or_, (_like(v, o).eqNullSafe(F.lit(o)) for o in options), F.lit(False)),
         lambda v: F.concat(as_text(v), F.lit(f" is not in {list(options)}.")),
     )
 

@@ -41,7 +41,9 @@ class Check:
 
     @property
     def key(self) -> str:
-        return f"{self.trait}:{self.rule.name}:{self.rule.args}"
+        rule = self.rule
+        more = (rule.kinds, rule.own) if isinstance(rule, Rule) else ()
+        return f"{self.trait}:{rule.name}:{rule.args}:{more}"
 
 
 class Compiled:

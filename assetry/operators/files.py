@@ -188,7 +188,7 @@ def add_file_traits(df: DataFrame, specs: Registry) -> DataFrame:
 
     Byte traits come from columns of the listing: `width`, `height`, `channels`,
     and the maps `user_traits` and `trait_errors`, each where present.  A user
-    trait replaces the name field of the same name.  Needs the name slots.
+    trait replaces the name field or image trait of the same name.  Needs the name slots.
     """
     spec = F.col("specification")
     has_user = "user_traits" in df.columns
@@ -204,9 +204,13 @@ def add_file_traits(df: DataFrame, specs: Registry) -> DataFrame:
 
     def image(field: str) -> Column:
         carriers = [n for n, s in specs.items() if field in s.image_traits]
-        if field not in df.columns or not carriers:
-            return F.lit(None).cast("int").alias(field)
-        return F.when(spec.isin(carriers), F.col(field).cast("int")).alias(field)
+        value = F.lit(None).cast("int")
+        if field in df.columns and carriers:
+            value = F.when(spec.isin(carriers), F.col(field).cast("int"))
+        if has_user:
+            user = F.try_element_at(F.col("user_traits"), F.lit(field))
+            value = F.coalesce(user.try_cast("int"), value)
+        return value.alias(field)
 
     def optional_map(present: bool, column: str, alias: str) -> Column:
         value = F.col(column) if present else F.lit(None)

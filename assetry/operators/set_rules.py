@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetry.functions.rules import Rule, SetRule, as_text
@@ -72,7 +72,7 @@ def not_missing_report(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
         F.min(value).alias("low"),
         F.max(value).alias("high"),
     )
-    span = F.col("high") - F.col("low") + 1
+    span = F.col("high").cast("long") - F.col("low") + 1
     return report.withColumn(
         "valid", (F.col("n_values") == span) & (F.col("n_distinct") == span)
     )
@@ -153,7 +153,7 @@ def violations(
         )
     elif rule.name == "not_missing":
         report = not_missing_report(rows, keys, value)
-        gaps = F.col("high") - F.col("low") + 1 - F.col("n_distinct")
+        gaps = F.col("high").cast("long") - F.col("low") + 1 - F.col("n_distinct")
         repeats = F.col("n_values") - F.col("n_distinct")
         text = F.format_string(
             "Missing values: %d of %d..%d, repeated values: %d.",
@@ -202,18 +202,24 @@ def expand_range(
     return values.withColumn(name, F.col(name).cast(dtype)).drop("_start")
 
 
-def missing_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per integer between a group's lowest and highest that is absent.
-
-    Only groups with gaps are expanded.
-    """
-    distinct = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
-    spans = distinct.groupBy(*keys).agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_n")
+def missing_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, `first` and `last` of each run of integers absent between two values
+    that a group has: one row per gap, however wide."""
+    distinct = df.select(*keys, F.col(value).cast("long").alias(value))
+    distinct = distinct.where(F.col(value).isNotNull()).distinct()
+    following = F.lead(value).over(Window.partitionBy(*keys).orderBy(value))
+    return (
+        distinct.withColumn("_next", following)
+        .where(F.col("_next") > F.col(value) + 1)
+        .select(*keys, (F.col(value) + 1).alias("first"), (F.col("_next") - 1).alias("last"))
     )
-    gapped = spans.where(F.col("_high") - F.col("_low") + 1 > F.col("_n"))
-    wanted = expand_range(gapped, keys, "_low", "_high", value).select(*keys, value)
-    return wanted.join(distinct, [*keys, value], "left_anti")
+
+
+def missing_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The runs of `missing_runs`, expanded to one row per integer."""
+    dtype = df.schema[value].dataType
+    wanted = expand_range(missing_runs(df, keys, value), [*keys, "first"], "first", "last", value)
+    return wanted.select(*keys, F.col(value).cast(dtype).alias(value))
 
 
 def missing_coordinates(

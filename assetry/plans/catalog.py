@@ -138,8 +138,13 @@ def search(data: DataFrame, query: str) -> DataFrame:
     if not _READ_ONLY.match(bare) or _WRITES.search(bare):
         raise ValueError("Only SELECT, WITH and VALUES statements can be searched.")
     spark = data.sparkSession
+    # a view of that name of the caller's own is put back
+    known = spark.catalog.tableExists("data") and spark.catalog.getTable("data").isTemporary
+    own = spark.table("data") if known else None
     data.createOrReplaceTempView("data")
     try:
         return spark.sql(query)
     finally:
         spark.catalog.dropTempView("data")
+        if own is not None:
+            own.createOrReplaceTempView("data")

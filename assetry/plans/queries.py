@@ -256,11 +256,9 @@ def parse_filename(spark, sf_dir):
 
 @query
 def format_name(spark, sf_dir):
-    table = _parsed(spark, sf_dir).where(F.col("n_project").isNotNull())
     fields = {f: F.col(f"n_{f}") for f in naming.FIELDS}
-    return table.select(
-        "filepath", naming.format_name(fields, naming.FIELDS).alias("name")
-    )
+    name = F.when(F.col("n_project").isNotNull(), naming.format_name(fields, naming.FIELDS))
+    return _parsed(spark, sf_dir).select("filepath", name.alias("name"))
 
 
 @query
@@ -416,7 +414,7 @@ def valid_files(spark, sf_dir):
 
 @query
 def expand_filepaths(spark, sf_dir):
-    table = _listing(spark, sf_dir).where(F.col("ok") % 8 == 3)
+    table = _listing(spark, sf_dir)
     fields = {
         "project": F.concat(F.lit("proj"), naming.padded(F.col("ok") % 25 + 1, 3)),
         "specification": F.lit("spec002"),
@@ -443,12 +441,20 @@ def redact_columns(spark, sf_dir):
             F.col("c_nationkey").cast("string").alias("root_id"),
         ).alias("settings"),
         F.col("c_mktsegment").alias("callback_url"),
+        F.array(
+            F.struct(F.col("c_name").alias("secret_key"), F.col("c_nationkey").cast("string").alias("n"))
+        ).alias("logins"),
+        F.create_map(F.lit("access_key"), F.col("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string")).alias(
+            "options"
+        ),
     )
     plain = paths.redact(table)
     return plain.select(
         "customer_number",
         "access_key",
         F.to_json("settings").alias("settings"),
+        F.to_json("logins").alias("logins"),
+        F.to_json("options").alias("options"),
         "callback_url",
     )
 
@@ -456,9 +462,13 @@ def redact_columns(spark, sf_dir):
 @query
 def redact_hash(spark, sf_dir):
     table = fixtures.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer_number"), F.col("c_name").alias("access_key")
+        F.col("c_custkey").alias("customer_number"),
+        F.col("c_name").alias("access_key"),
+        F.create_map(F.lit("access_key"), F.col("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string")).alias(
+            "options"
+        ),
     )
-    return paths.redact(table, hashed=True)
+    return paths.redact(table, hashed=True).withColumn("options", F.to_json("options"))
 
 
 # --- joins and groups --------------------------------------------------------

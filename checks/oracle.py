@@ -385,7 +385,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN good THEN specification END AS specification, descriptor, version,
         CASE WHEN cx IS NOT NULL THEN cx || ',' || cy END AS coordinate, frame,
         name_extension AS extension FROM rows""",
-    "format_name": f"{ROWS} SELECT filepath, filename AS name FROM rows WHERE good",
+    "format_name": f"{ROWS} SELECT filepath, CASE WHEN good THEN filename END AS name FROM rows",
     "parse_extension": f"""{LISTING} SELECT filepath, extension,
         regexp_extract(filename, '([a-zA-Z0-9]+)$', 1) AS parsed_extension FROM listing""",
     "filename_error": f"{ROWS} SELECT filepath, filename_error FROM rows",
@@ -422,11 +422,13 @@ ORACLE: dict[str, str] = {
     "expand_filepaths": f"""{LISTING} SELECT ok, '/ingress/by-order/' || ok || '/' || stem || '/' || stem
         || '_f' || lpad(CAST(ln * 1000 + pk AS VARCHAR), 4, '0') || '.jpg' AS filepath
         FROM (SELECT *, 'p-proj' || lpad(CAST(ok % 25 + 1 AS VARCHAR), 3, '0') || '_s-spec002_d-bagel_v'
-              || lpad(CAST(ok % 999 + 1 AS VARCHAR), 3, '0') AS stem FROM listing WHERE ok % 8 = 3)""",
+              || lpad(CAST(ok % 999 + 1 AS VARCHAR), 3, '0') AS stem FROM listing)""",
     "redact_columns": """SELECT c_custkey AS customer_number, 'REDACTED' AS access_key,
         '{"segment":"' || c_mktsegment || '","root_id":"REDACTED"}' AS settings,
-        'REDACTED' AS callback_url FROM customer""",
-    "redact_hash": """SELECT c_custkey AS customer_number, 'hash-' || sha256(c_name) AS access_key
+        'REDACTED' AS callback_url, '[{"secret_key":"REDACTED","n":"' || c_nationkey || '"}]' AS logins,
+        '{"access_key":"REDACTED","nation":"' || c_nationkey || '"}' AS options FROM customer""",
+    "redact_hash": """SELECT c_custkey AS customer_number, 'hash-' || sha256(c_name) AS access_key,
+        '{"access_key":"hash-' || sha256(c_name) || '","nation":"' || c_nationkey || '"}' AS options
         FROM customer""",
     "group_lookup": f"""{ROWS} SELECT asset_path, count(*) AS n_files FROM rows
         WHERE asset_path IS NOT NULL GROUP BY asset_path""",

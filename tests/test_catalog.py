@@ -34,7 +34,7 @@ def catalog(spark, root):
 
 def test_every_row_of_the_tree(catalog, root):
     rows = {r.filepath: r for r in catalog.collect()}
-    assert len(rows) == len(FILES) == 27
+    assert len(rows) == len(FILES) == 26
     for folder, name, valid, error in FILES:
         r = rows[os.path.join(root, folder, name)]
         assert r.asset_valid is valid, name
@@ -62,9 +62,9 @@ def test_summary_agrees_with_rows(spark, root, catalog):
     rows = files.file_rows(table, SMALL_SPECS, root)
     got = {r.specification: r.asDict() for r in assets.asset_summary(rows, SMALL_SPECS).collect()}
     assert got["spec001"] == {
-        "specification": "spec001", "n_assets": 3, "n_valid_assets": 2, "n_files": 15, "n_valid_files": 11,
+        "specification": "spec001", "n_assets": 3, "n_valid_assets": 2, "n_files": 14, "n_valid_files": 10,
     }
-    assert (got["spec002"]["n_valid_assets"], got["spec002"]["n_valid_files"]) == (1, 3)
+    assert (got["spec002"]["n_valid_assets"], got["spec002"]["n_valid_files"]) == (1, 5)
     light = assets.add_asset_valid(rows, SMALL_SPECS)
     assert sorted((r.filepath, r.asset_valid) for r in light.collect()) == sorted(
         (r.filepath, r.asset_valid) for r in catalog.collect()
@@ -79,8 +79,8 @@ def test_read_by_file(catalog):
         "asset_path", "asset_type", "asset_error", "asset_valid", "asset_path_relative",
         "channels", "filename_error", "filepath_relative", "height", "width",
     ]
-    r = df.where("filename LIKE '%v002_c0000-0001_f0003.png'").first()
-    assert (r.version, r.coordinate_x, r.coordinate_y, r.coordinate_z, r.frame) == (2, 0, 1, None, 3)
+    r = df.where("filename LIKE '%v002_c0001-0001_f0008.png'").first()
+    assert (r.version, r.coordinate_x, r.coordinate_y, r.coordinate_z, r.frame) == (2, 1, 1, None, 8)
     assert (r.width, r.height, r.channels) == (4, 5, 3)
 
 
@@ -89,13 +89,13 @@ def test_read_by_asset(catalog):
     assert "version" not in df.columns and "specification" not in df.columns
     rows = df.orderBy("asset_path").collect()
     assert len(rows) == 5
-    assert rows[2].file_error and rows[2].asset_name.endswith("pizza_v003")
+    assert rows[2].file_error and rows[2].asset_name.endswith("harbor_v004")
 
 
 def test_search(catalog):
     df = plans.read_files(catalog)
     query = 'SELECT version, count(*) AS n FROM data WHERE specification == "spec001" GROUP BY version'
-    assert {r.version: r.n for r in plans.search(df, query).collect()} == {1: 3, 2: 8, 3: 3, None: 1}
+    assert {r.version: r.n for r in plans.search(df, query).collect()} == {1: 4, 2: 6, 4: 3, None: 1}
     assert plans.search(df, "-- note\nWITH a AS (SELECT 1 AS x) SELECT * FROM a").count() == 1
     for bad in ("DROP TABLE x", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a",
                 "CREATE TABLE t AS SELECT 1", ""):
@@ -230,3 +230,30 @@ def test_a_hot_asset_and_many_files_without_one(spark):
         assert names == sorted(names) and len(names) == n
         assert [x for d in docs for x in d.asset_traits.frame] == list(range(n))
     assert results[0] == results[1] == {True: n + 999, False: n}
+
+
+def test_user_traits_keep_to_their_kind(spark, tmp_path):
+    """A user function can give an image trait; None is no value."""
+    functions = {"width": lambda p: 7, "note": lambda p: None}
+    spec = Spec("usr002", asset_type="file", file_traits=functions, traits={"width": trait(R.is_eq(7), required=True), "note": trait(R.is_eq(3))})
+    specs = registry([spec])
+    table = traits.read_traits(_manifest(spark, ["p-film12_s-usr002_d-x_v001.abc"]), specs)
+    row = plans.update(table, specs, "/in").select("file_traits.width", "file_traits.user", "asset_valid").first()
+    assert (row.width, row.asset_valid) == (7, True) and "note" not in row.user
+
+
+def test_documents_do_not_depend_on_their_size(catalog):
+    """Put together in order, an asset's parts are the same for any size."""
+    whole = publish.asset_metadata(catalog, "/out").collect()
+    parts = sorted(publish.asset_metadata(catalog, "/out", part_size=2).collect(), key=lambda r: (r.asset_id, r.part))
+    assert len(parts) > len(whole) and all(d.n_parts == 1 for d in whole)
+    for d in whole:
+        own = [p for p in parts if p.asset_id == d.asset_id]
+        assert [p.part for p in own] == list(range(own[0].n_parts))
+        for name in ("file_ids", "filenames", "filepaths", "filepaths_relative"):
+            assert [x for p in own for x in p[name]] == d[name]
+        assert [x for p in own for x in (p.asset_traits.frame or [])] == d.asset_traits.frame
+        assert {p.asset_name for p in own} == {d.asset_name}
+    keys = publish.object_keys(catalog, "/out", "c", part_size=2).where("kind = 'asset'")
+    targets = publish.document_targets(publish.asset_metadata(catalog, "/out", 2), "asset", ["part"], "/out")
+    assert {r.source for r in keys.collect()} == {r.target for r in targets.collect()}

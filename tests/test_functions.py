@@ -83,3 +83,17 @@ def test_scalars(spark):
         paths.progress_ratio(F.lit(1), F.lit(0)).alias("p"),
     ).first()
     assert tuple(r) == (True, False, "2024-02-03T-04-05-06", "Progress: 50.00% (1 of 2) - msg", 1.0)
+
+
+def test_redaction_at_any_depth(spark):
+    df = spark.sql(
+        "SELECT array(struct('s' AS secret_key, 'a' AS b)) AS list, map('access_key', 'k', 'plain', 'p') AS m, "
+        "struct(array(map('x_url', 1, 'y', 2)) AS deep) AS s, map('a', struct('t' AS api_key)) AS n"
+    )
+    r = paths.redact(df).first()
+    hidden = paths.REDACTED
+    assert r.list[0].asDict() == {"secret_key": hidden, "b": "a"}
+    assert r.m == {"access_key": hidden, "plain": "p"}
+    assert r.s.deep == [{"x_url": hidden, "y": "2"}]
+    assert r.n == {"a": '{"api_key":"%s"}' % hidden}
+    assert paths.redact(df, hashed=True).first().m["access_key"].startswith("hash-")

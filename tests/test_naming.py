@@ -117,10 +117,10 @@ def test_format_keeps_long_numbers_and_leaves_out_absent_fields(spark):
 @pytest.mark.parametrize(
     "fields, message",
     [
-        ([], "empty"),
-        (["project", "project"], "duplicates"),
-        (["project", "taco"], "Illegal fields found"),
-        (["extension", "project"], "must be last"),
+        ([], "at least one"),
+        (["project", "project"], "given twice"),
+        (["project", "taco"], "Unknown fields: taco"),
+        (["extension", "project"], "at the end"),
     ],
 )
 def test_illegal_fields(fields, message):

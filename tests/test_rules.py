@@ -113,3 +113,24 @@ def test_long_ranges_are_expanded_in_steps(spark):
     df = spark.createDataFrame([(1, 5), (1, 25_003), (2, 0), (2, 2)], "g int, v int")
     rows = set_rules.missing_values(df, ["g"], "v").collect()
     assert sorted((r.g, r.v) for r in rows) == [(1, v) for v in range(6, 25_003)] + [(2, 1)]
+
+
+def test_text_against_numbers(spark):
+    """A value that cannot be read as a number fails and ends nothing."""
+    df = spark.createDataFrame([("abc",), ("3",), ("4.5",), (None,)], "v string")
+    for rule, want in ((R.is_eq(3), [True, False, True, False]), (R.is_lt(4), [True, False, True, False]),
+                       (R.is_in([3, 4.5]), [True, False, False, False]), (R.is_eq("abc"), [False, True, True, False])):
+        assert [r[0] for r in df.select(rule.fails(F.col("v"))).collect()] == want
+
+
+def test_rules_are_told_apart():
+    one = R.each("mine", lambda v: v > 1, lambda v: v)
+    two = R.each("mine", lambda v: v > 2, lambda v: v)
+    assert one != two and R.is_eq(1) != R.is_eq(True) and R.is_project() == R.is_project()
+
+
+def test_wide_gaps(spark):
+    df = spark.createDataFrame([(1, -2), (1, 2147483647), (1, 5)], "k int, v int")
+    runs = set_rules.missing_runs(df, ["k"], "v").collect()
+    assert sorted((r.first, r.last) for r in runs) == [(-1, 4), (6, 2147483646)]
+    assert set_rules.not_missing_report(df, ["k"], "v").first().valid is False

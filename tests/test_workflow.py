@@ -90,7 +90,7 @@ def test_create_export_delete(spark, project, tmp_path):
     assert _files(f"{project.staging}/content") == sorted(VALID)
     assert _files(project.root) == sorted(os.path.join(d, n) for d, n, _, _ in FILES)
     documents = _files(f"{project.staging}/metadata/file")
-    assert len(documents) == len(VALID) == 14
+    assert len(documents) == len(VALID) == 15
     with open(f"{project.staging}/metadata/file/{documents[0]}") as f:
         doc = json.load(f)
     assert list(doc) == list(publish.FILE_DOCUMENT)
@@ -105,8 +105,8 @@ def test_create_export_delete(spark, project, tmp_path):
         assert all(p.startswith(project.root) for p in doc["filepaths"])
         assert len(doc["asset_traits"]["frame"]) == len(doc["file_ids"])
         sizes.append(len(doc["file_ids"]))
-    assert sorted(sizes) == [3, 3, 8]
-    for kind, count in (("asset", 3), ("file", 14)):
+    assert sorted(sizes) == [4, 5, 6]
+    for kind, count in (("asset", 3), ("file", 15)):
         chunk = spark.read.text(f"{project.staging}/metadata/{kind}-chunk/*")
         assert chunk.count() == count
     assert _files(f"{target}/content") == sorted(VALID)
@@ -127,7 +127,7 @@ def test_move_mode_leaves_the_rest(spark, project):
     project.write_mode = "move"
     w.workflow(project, ["update", "create"])
     assert _files(f"{project.staging}/content") == sorted(VALID)
-    assert len(_files(project.root)) == 27 - 14
+    assert len(_files(project.root)) == 26 - 15
 
 
 def test_copying_twice_is_harmless(spark, tmp_path):
@@ -145,7 +145,7 @@ def test_copying_twice_is_harmless(spark, tmp_path):
 def test_workflow_rules(project):
     with pytest.raises(ValueError, match="taco"):
         w.workflow(project, ["update", "taco"])
-    with pytest.raises(RuntimeError, match="call update"):
+    with pytest.raises(RuntimeError, match="run update first"):
         w.workflow(project, ["create"])
     w.workflow(project, ["delete"])
 

@@ -1,4 +1,4 @@
-"""The 27-file test tree and image headers."""
+"""A small test tree and image headers."""
 
 from __future__ import annotations
 
@@ -26,34 +26,44 @@ def jpeg(width: int, height: int, channels: int = 3) -> bytes:
     return b"\xff\xd8" + app + table + frame + b"\0" * (3 * channels) + b"\xff\xd9"
 
 
-PIZZA = "proj001/spec001/pizza/p-proj001_s-spec001_d-pizza_v00"
-TACO = "proj001/spec002/taco/p-proj001_s-spec002_d-taco_v00"
-
-# Directory, file name, is the row valid, text expected in its file error.
-FILES: list[tuple[str, str, bool, str | None]] = (
-    [(f"{PIZZA}1", f"p-proj001_s-spec001_d-pizza_v001_c0000-0001_f000{i}.png", True, None) for i in (1, 2, 3)]
-    + [
-        (f"{PIZZA}2", f"p-proj001_s-spec001_d-pizza_v002_c0000-000{y}_f000{i}.png", True, None)
-        for y in (0, 1)
-        for i in (1, 2, 3, 4)
-    ]
-    + [
-        (f"{PIZZA}3", "p-proj001_s-spec001_d-kiwi_v003_c0000-0001_f0001.png", False, "Invalid asset directory name"),
-        (f"{PIZZA}3", "p-proj001_s-spec001_d-pizza_v003_c0000-0001_f0002.png", False, None),
-        (f"{PIZZA}3", "p-proj001_s-spec001_d-PIZZA_v003_c0000-0001_f0003.png", False, "Illegal descriptor field token"),
-        (f"{PIZZA}3", "p-proj001_s-spec001_d-pizza_v003_c0000-0001_f0004.png", False, None),
-        (f"{PIZZA}3", "p-proj001_s-spec0001_d-pizza_v003_c0000-0001_f0005.png", False, "Specification not found"),
-        (f"{PIZZA}3", "misc.txt", False, "Specification not found"),
-    ]
-    + [(f"{TACO}1", f"p-proj001_s-spec002_d-taco_v001_f000{i}.jpg", True, None) for i in (0, 1, 2)]
-    + [
-        (f"{TACO}2", "p-proj001_s-spec002_d-taco_v001_f0000.jpg", False, "Invalid asset directory name"),
-        (f"{TACO}2", "p-proj001_s-spec002_d-taco_v002_f0001.jpg", False, None),
-        (f"{TACO}2", "p-proj001_s-spec002_d-taco_v002", False, "Expected '_'"),
-        (f"{TACO}2", "p-proj001_s-spec002_d-taco_v02_f0003.jpg", False, "Illegal version field token"),
-    ]
-    + [("proj002/vdb001", f"p-proj002_s-vdb001_d-bagel_v00{i}.vdb", False, "Specification not found") for i in (1, 2, 3)]
-)
+def _image(spec: str, descriptor: str, version: str, rest: str) -> str:
+    return f"p-film12_s-{spec}_d-{descriptor}_v{version}{rest}"
+
+
+def _folder(spec: str, descriptor: str, version: str) -> str:
+    return f"film12/{spec}/{descriptor}/" + _image(spec, descriptor, version, "")
+
+
+def _tree():
+    """Directory, file name, is the row valid, text expected in its file error."""
+    whole = _folder("spec001", "harbor", "001")
+    for frame in (10, 11, 12, 13):
+        yield whole, _image("spec001", "harbor", "001", f"_c0000-0002_f00{frame}.png"), True, None
+    grid = _folder("spec001", "harbor", "002")
+    for place in ("0000-0001", "0001-0001"):
+        for frame in (7, 8, 9):
+            yield grid, _image("spec001", "harbor", "002", f"_c{place}_f000{frame}.png"), True, None
+    # one asset with every kind of wrong neighbour
+    mixed = _folder("spec001", "harbor", "004")
+    end = "_c0000-0002_f0021.png"
+    yield mixed, _image("spec001", "bridge", "004", end), False, "Invalid asset directory name"
+    yield mixed, _image("spec001", "harbor", "004", "_c0000-0002_f0022.png"), False, None
+    yield mixed, _image("spec001", "HARBOR", "004", end), False, "Illegal descriptor field token"
+    yield mixed, _image("spec001", "harbor", "004", "_c0000-0002_f0023.png"), False, None
+    yield mixed, _image("spec0001", "harbor", "004", end), False, "Specification not found"
+    yield mixed, "notes.txt", False, "Specification not found"
+    plain = _folder("spec002", "meadow", "003")
+    for frame in range(5):
+        yield plain, _image("spec002", "meadow", "003", f"_f010{frame}.jpg"), True, None
+    broken = _folder("spec002", "meadow", "005")
+    yield broken, _image("spec002", "meadow", "003", "_f0001.jpg"), False, "Invalid asset directory name"
+    yield broken, _image("spec002", "meadow", "005", "_f0002.jpg"), False, None
+    yield broken, _image("spec002", "meadow", "005", ""), False, "Expected '_'"
+    yield broken, _image("spec002", "meadow", "05", "_f0003.jpg"), False, "Illegal version field token"
+    yield "film07/vdb001", "p-film07_s-vdb001_d-cloud_v001.vdb", False, "Specification not found"
+
+
+FILES: list[tuple[str, str, bool, str | None]] = list(_tree())
 
 
 def make_tree(root: str) -> None:
