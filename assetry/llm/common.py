@@ -61,6 +61,12 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def give_back() -> None:
+    """Let this Python worker return freed Arrow buffers to the system at once; the
+    usual pool keeps them, also while the worker waits for its next task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -83,6 +89,7 @@ def map_batches(
     kept = df.columns if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         turn = make()
         for batch in batches:
             for part in slices(batch):
@@ -137,7 +144,7 @@ class WordHashes(dict):
     """64-bit hash of each word as 8 bytes, computed once per word and task.
     Emptied when full: it is a cache, not a table."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> bytes:
         import xxhash

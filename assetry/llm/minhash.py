@@ -10,8 +10,9 @@ pairs, fewer above.
 Candidates are confirmed on the full sets.  Texts with equal sets are one class.
 A table's bucket is never turned into all its pairs: its members are compared with
 its smallest member, first one such pair for each class, then those pairs that
-still join two components.  Buckets that hold several components after that are
-compared in blocks inside tasks, which give new links only.
+still join two components.  What several components still share after that is
+compared bucket by bucket of A, large ones in blocks inside tasks, which give new
+links only.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetry.llm.common import WordHashes, map_batches, mixed, saved, tidy, window_hashes
+from assetry.llm.common import WordHashes, give_back, map_batches, mixed, saved, tidy, window_hashes
 
 SHINGLE = 5
 PERCENT = 85
 GROUPS = 11  # group hashes of each collection
 GROUP_SIZE = 3  # minhashes of a group hash
 SMALL = 64  # members of a bucket that gives its pairs
-BLOCK = 128  # members of a larger bucket that are compared with as many at a time
+BLOCK = 512  # members of a larger bucket that are compared with as many at a time
 # Group hashes of both collections that a linked pair shares, at least: of 22 it has
 # 13.5 on average at 0.85, and fewer than 4 in 6 of a million cases.
 LEAST_SHARED = 4
@@ -130,11 +131,11 @@ def _colliding(classes: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, i, j, node) for the tables of each class that another class shares."""
+    """(key, node, least) for the tables of each class that another class shares."""
     keyed = classes.select("node", "b", F.posexplode("a").alias("i", "va")).select(
         "node", "i", "va", F.posexplode("b").alias("j", "vb")
     )
-    rows = keyed.select(F.xxhash64("i", "j", "va", "vb").alias("key"), "i", "j", "node")
+    rows = keyed.select(F.xxhash64("i", "j", "va", "vb").alias("key"), "node")
     stars = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     return rows.join(stars, "key")
 
@@ -176,6 +177,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_v = with_u.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
 
     def run(batches):
+        give_back()
         for batch in batches:
             su, sv = batch.column("su"), batch.column("sv")
             keep = [
@@ -225,9 +227,9 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataF
     return rows.join(own, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
 
-def _cross_pairs(rows: list[dict], i: int, j: int, percent: int, two_sides: bool):
-    """For each member, the earlier ones of other components that may be similar
-    enough and whose first shared table is (i, j)."""
+def _cross_pairs(rows: list[dict], percent: int, two_sides: bool):
+    """For each member of a bucket of A_i, the earlier ones of other components that
+    share a table, may be similar enough, and share no bucket before this one."""
     a, b = np.array([r["a"] for r in rows]), np.array([r["b"] for r in rows])
     group = np.array([r["component"] for r in rows])
     own = np.array([r["own"] for r in rows])
@@ -238,58 +240,60 @@ def _cross_pairs(rows: list[dict], i: int, j: int, percent: int, two_sides: bool
             other &= own[:k] != own[k]
         other &= 100 * np.minimum(size[:k], size[k]) >= percent * np.maximum(size[:k], size[k])
         same_a, same_b = a[:k] == a[k], b[:k] == b[k]
-        other &= (same_a.argmax(1) == i) & (same_b.argmax(1) == j)
+        other &= (same_a.argmax(1) == rows[0]["i"]) & same_b.any(1)
         other &= same_a.sum(1) + same_b.sum(1) >= LEAST_SHARED
         yield k, np.flatnonzero(other).tolist()
 
 
-def _leftover(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int):
-    """Links between the components that still meet in a bucket, its smallest member
-    apart, which has been compared with all.  A pair is looked at only in the first
-    table it shares.  Buckets of up to SMALL members give their pairs, to be confirmed
-    like others; of larger ones every two blocks meet in a task, which compares the
-    sets themselves and gives links only."""
-    rows = buckets.where("node <> least").select("key", "i", "j", "node")
-    rows = _labelled(rows, labels, "node", "component")
+def _leftover(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that still share a table.
+
+    All tables of one A_i are looked at together, in the bucket of that hash: 11 rows
+    for a class instead of 121.  A pair is looked at in the first bucket it shares.
+    Buckets of up to SMALL members give their pairs, to be confirmed like others; of
+    larger ones every two blocks meet in a task, which compares the sets themselves
+    and gives links only."""
+    rows = _labelled(classes.select("node", "n_shingles", "a", "b"), labels, "node", "component")
+    rows = rows.select("*", F.posexplode("a").alias("i", "v"))
     open_ = (
-        rows.groupBy("key")
+        rows.groupBy("i", "v")
         .agg(
             F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")
         )
         .where("c1 <> c2")
-        .select("key", F.when(F.col("n") > SMALL, F.ceil(F.col("n") / BLOCK)).otherwise(0).alias("blocks"))
+        .select("i", "v", F.when(F.col("n") > SMALL, F.ceil(F.col("n") / BLOCK)).otherwise(0).alias("blocks"))
     )
     members = saved(
-        rows.join(open_, "key")
-        .join(classes.select("node", "n_shingles", "a", "b"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node", "key"), F.greatest("blocks", F.lit(1))).cast("int")),
+        rows.join(open_, ["i", "v"]).withColumn(
+            "own", F.pmod(F.xxhash64("node", "i"), F.greatest("blocks", F.lit(1))).cast("int")
+        ),
         "open-buckets",
     )
 
     def pairs(table: pa.Table) -> pa.Table:
+        give_back()
         rows = table.to_pylist()
         found = [
             (rows[q]["node"], rows[k]["node"])
-            for k, near in _cross_pairs(rows, rows[0]["i"], rows[0]["j"], percent, False)
+            for k, near in _cross_pairs(rows, percent, False)
             for q in near
         ]
         return _links(found)
 
     def compare(table: pa.Table) -> pa.Table:
+        give_back()
         rows = table.to_pylist()
-        group = [r["component"] for r in rows]
+        group = np.array([r["component"] for r in rows])
         sets_ = [np.frombuffer(r["shingles"], dtype="<u8") for r in rows]
         found = []
-        two_sides = rows[0]["x"] != rows[0]["y"]
-        for k, near in _cross_pairs(rows, rows[0]["i"], rows[0]["j"], percent, two_sides):
+        for k, near in _cross_pairs(rows, percent, rows[0]["x"] != rows[0]["y"]):
             for q in near:
                 if group[q] != group[k] and linked(sets_[q], sets_[k], percent):
                     found.append((rows[q]["node"], rows[k]["node"]))
-                    joined = group[q]
-                    group = [group[k] if g == joined else g for g in group]
+                    group[group == group[q]] = group[k]
         return _links(found)
 
-    small = members.where("blocks = 0").groupBy("key").applyInArrow(pairs, "u long, v long")
+    small = members.where("blocks = 0").groupBy("i", "v").applyInArrow(pairs, "u long, v long")
     links = _confirmed(saved(small.distinct(), "pairs"), sets, percent)
     large = members.where("blocks > 0")
     if large.isEmpty():
@@ -297,7 +301,7 @@ def _leftover(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     large = large.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks AS int) - 1)")))
     large = large.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     return links.union(
-        large.join(sets, "node").groupBy("key", "x", "y").applyInArrow(compare, "u long, v long")
+        large.join(sets, "node").groupBy("i", "v", "x", "y").applyInArrow(compare, "u long, v long")
     )
 
 
@@ -353,7 +357,7 @@ def near_duplicates(
     labels = components(known.union(_confirmed(rest.select("u", "v"), sets, percent)))
     tidy(spark)
     known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    labels = components(known.union(_leftover(buckets, labels, close, sets, percent)))
+    labels = components(known.union(_leftover(close, labels, sets, percent)))
     tidy(spark)
 
     named = _labelled(classes.select("node", "least"), labels, "node", "component")

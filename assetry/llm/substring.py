@@ -36,6 +36,7 @@ from assetry.llm.common import (
     arrow_schema,
     batch_of,
     byte_words,
+    give_back,
     joined_hash,
     map_batches,
     mixed,
@@ -67,6 +68,7 @@ def _read(blob: bytes, kind: str) -> np.ndarray:
 def _batches(batches, columns):
     """Documents in groups of about BATCH_WORDS words: lists of the columns, and the
     words of each."""
+    give_back()
     group, words, size = [], [], 0
     for batch in batches:
         for part in slices(batch):

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetry.llm.common import arrow_schema, batch_of, saved
+from assetry.llm.common import arrow_schema, batch_of, give_back, saved
 
 SHARD = 8192  # vectors of a shard
 QUERIES = 1024  # queries of a block
@@ -107,6 +107,7 @@ def _search_tiles(k: int):
     arrow = arrow_schema(_LISTS)
 
     def run(batches):
+        give_back()
         for batch in batches:
             for r in range(batch.num_rows):
                 t = {c: batch.column(c)[r].as_py() for c in batch.schema.names}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetry.llm.common import arrow_schema, batch_of, new_folder, open_store, saved, slices
+from assetry.llm.common import arrow_schema, batch_of, give_back, new_folder, open_store, saved, slices
 
 ARCHIVE_BYTES = 1 << 26  # an archive is closed after the record that reaches this
 CHUNK = 1 << 18
@@ -111,6 +111,7 @@ def write(
     arrow = arrow_schema(ARCHIVES)
 
     def run(batches):
+        give_back()
         out, name, inner, records, size = None, "", "", 0, 0
 
         def close():
@@ -237,6 +238,7 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
     arrow = arrow_schema(CHUNKS)
 
     def run(batches):
+        give_back()
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 store, inner = open_store(path)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetry.llm.common import arrow_schema, batch_of, new_folder, open_store, row_key, saved, slices
+from assetry.llm.common import arrow_schema, batch_of, give_back, new_folder, open_store, row_key, saved, slices
 from assetry.llm.tokens import WordEncoder, tokenizer_path
 
 END_OF_DOCUMENT = 2
@@ -209,6 +209,7 @@ def write(
     def run(batches):
         from pyspark import TaskContext
 
+        give_back()
         task, shard = TaskContext.get().partitionId(), 0
         encoder = WordEncoder(path, whole_texts)
         doc_ids, rows, size = [], [], 0
@@ -273,6 +274,7 @@ def read(shards: DataFrame) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        give_back()
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 shard = Shard(path)
