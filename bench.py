@@ -29,6 +29,9 @@ HEADLINE = (
     "search_group_by",
     "search_latest_version",
     "asset_summary",
+    "format_name",
+    "group_lookup",
+    "missing_values",
 )
 
 
