@@ -47,7 +47,7 @@ from assetry.llm.common import (
 )
 
 WINDOW = 35
-BATCH_WORDS = 1 << 20  # words of the documents that send their hashes together
+BATCH_WORDS = 1 << 19  # words of the documents that send their hashes together
 BATCH_DOCS = 60_000  # so that a document's place in its batch fits 16 bits
 GROUP_HASHES = 1 << 21  # hashes that one partition of an exchange sorts, about
 
