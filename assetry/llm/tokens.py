@@ -46,6 +46,9 @@ class WordEncoder:
         ids = self.tokenizer.get_vocab()
         self.last = np.zeros(max(ids.values()) + 1, dtype=bool)  # ends a word
         self.last[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+        # matched as written, before the normalizer lower-cases
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.lower() for t in added if not t.normalized]
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
@@ -68,12 +71,14 @@ class WordEncoder:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, c)) for c in chunked]
 
-    @staticmethod
-    def _chunks(text: str | None) -> list[str]:
+    def _chunks(self, text: str | None) -> list[str]:
         if not text:
             return []
         if text.isascii():  # the normalizer lower-cases
-            text = text.lower()
+            low = text.lower()
+            # in other case a special token is no token, and must not become one
+            if not any(s in low for s in self.special):
+                text = low
         return text.replace("\n", " ").split(" ")
 
     def _learn(self, chunks: set[str]) -> None:

@@ -43,6 +43,15 @@ def test_word_encoder_equals_the_library():
     assert encoder.encode_batch(texts) == [ids_of(plain, t) for t in texts]
 
 
+def test_special_tokens_in_other_case():
+    """Only the exact spelling is a control token, in ASCII texts too."""
+    encoder, plain = WordEncoder(tokenizer_path()), library("word_bpe_49k.json")
+    texts = ["a <|ENDOFTEXT|> b", "A<|EndOfText|>B <|endoftext|> c", "<|StartOfText|>\nTHE End", "x<|STARTOFTEXT|>"]
+    assert encoder.encode_batch(texts) == [ids_of(plain, t) for t in texts]
+    ids = np.frombuffer(encoder.encode_batch(texts[:1])[0], "<u4").tolist()
+    assert len(ids) == 8 and not {49406, 49407} & set(ids)
+
+
 def test_byte_pairs_equal_the_library():
     vocabulary = bpe.Vocabulary(tokenizer_path("byte_bpe_50k.json"))
     encoder, decoder = bpe.Encoder(vocabulary), bpe.Decoder(vocabulary)
