@@ -4,8 +4,8 @@ A banding of L tables of k hashes each needs L*k minhashes.  Here two small
 collections A and B of m group hashes (k/2 minhashes each) are made, and table
 (i, j) is keyed by the pair (A_i, B_j): m*m tables from 2*m*k/2 minhashes.  Two
 sets of similarity s share a table if some A_i and some B_j agree, with
-probability (1 - (1 - s^(k/2))^m)^2; at 0.85 the chosen sizes miss 6 of 100,000
-pairs, fewer above.
+probability (1 - (1 - s^(k/2))^m)^2.  m follows from the threshold: 11 at 0.85 miss 6
+of 100,000 pairs at the threshold, 14 at 0.80 miss 9; fewer above.
 
 Candidates are confirmed on the full sets.  Texts with equal sets are one class.
 A table's bucket is never turned into all its pairs: its members are compared with
@@ -17,6 +17,8 @@ links only.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,17 +28,38 @@ from assetry.llm.common import WordHashes, give_back, map_batches, mixed, saved,
 
 SHINGLE = 5
 PERCENT = 85
-GROUPS = 11  # group hashes of each collection
+GROUPS = 11  # group hashes of each collection, at PERCENT
 GROUP_SIZE = 3  # minhashes of a group hash
+MISSED = 1e-4  # share of the pairs at the threshold that may share no table
+UNSHARED = 1e-5  # and that may share fewer group hashes than `least_shared`
 SMALL = 64  # members of a bucket that gives its pairs
 BLOCK = 512  # members of a larger bucket that are compared with as many at a time
-# Group hashes of both collections that a linked pair shares, at least: of 22 it has
-# 13.5 on average at 0.85, and fewer than 4 in 6 of a million cases.
-LEAST_SHARED = 4
 
 _SKETCH = "doc_id long, k1 long, n_shingles long, node long, set2 long, a array<long>, b array<long>"
 
 
+def table_groups(percent: int, group_size: int = GROUP_SIZE) -> int:
+    """Fewest group hashes of each collection with which fewer than MISSED of the
+    pairs at the threshold share no table."""
+    differ, groups = 1 - (percent / 100) ** group_size, 1
+    while 1 - (1 - differ**groups) ** 2 >= MISSED:
+        groups += 1
+    return groups
+
+
+def least_shared(percent: int, groups: int, group_size: int = GROUP_SIZE) -> int:
+    """Group hashes of both collections that a linked pair shares, at least, but for
+    UNSHARED of the pairs at the threshold.  At 0.85 a pair has 13.5 of 22 on average
+    and fewer than 4 in 6 of a million cases; at 0.80 14.3 of 28, and 8 of a million.
+    One in each collection at least: it shares a table."""
+    n, agree, least = 2 * groups, (percent / 100) ** group_size, 0
+    fewer = (1 - agree) ** n
+    while fewer < UNSHARED:
+        least += 1
+        fewer += comb(n, least) * agree**least * (1 - agree) ** (n - least)
+    return max(2, least)
+
+
 def shingle_sets(texts: list[str | None], hashes: WordHashes, size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
     words = [t.encode().lower().split() if t else [] for t in texts]
@@ -227,9 +250,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataF
     return rows.join(own, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
 
-def _cross_pairs(rows: list[dict], percent: int, two_sides: bool):
+def _cross_pairs(rows: list[dict], percent: int, shared: int, two_sides: bool):
     """For each member of a bucket of A_i, the earlier ones of other components that
-    share a table, may be similar enough, and share no bucket before this one."""
+    share a table and `shared` group hashes, may be similar enough, and share no bucket
+    before this one."""
     a, b = np.array([r["a"] for r in rows]), np.array([r["b"] for r in rows])
     group = np.array([r["component"] for r in rows])
     own = np.array([r["own"] for r in rows])
@@ -241,15 +265,17 @@ def _cross_pairs(rows: list[dict], percent: int, two_sides: bool):
         other &= 100 * np.minimum(size[:k], size[k]) >= percent * np.maximum(size[:k], size[k])
         same_a, same_b = a[:k] == a[k], b[:k] == b[k]
         other &= (same_a.argmax(1) == rows[0]["i"]) & same_b.any(1)
-        other &= same_a.sum(1) + same_b.sum(1) >= LEAST_SHARED
+        other &= same_a.sum(1) + same_b.sum(1) >= shared
         yield k, np.flatnonzero(other).tolist()
 
 
-def _leftover(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _leftover(
+    classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, shared: int
+) -> DataFrame:
     """Links between the components that still share a table.
 
-    All tables of one A_i are looked at together, in the bucket of that hash: 11 rows
-    for a class instead of 121.  A pair is looked at in the first bucket it shares.
+    All tables of one A_i are looked at together, in the bucket of that hash: m rows
+    for a class instead of m*m.  A pair is looked at in the first bucket it shares.
     Buckets of up to SMALL members give their pairs, to be confirmed like others; of
     larger ones every two blocks meet in a task, which compares the sets themselves
     and gives links only."""
@@ -275,7 +301,7 @@ def _leftover(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
         rows = table.to_pylist()
         found = [
             (rows[q]["node"], rows[k]["node"])
-            for k, near in _cross_pairs(rows, percent, False)
+            for k, near in _cross_pairs(rows, percent, shared, False)
             for q in near
         ]
         return _links(found)
@@ -286,7 +312,7 @@ def _leftover(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
         group = np.array([r["component"] for r in rows])
         sets_ = [np.frombuffer(r["shingles"], dtype="<u8") for r in rows]
         found = []
-        for k, near in _cross_pairs(rows, percent, rows[0]["x"] != rows[0]["y"]):
+        for k, near in _cross_pairs(rows, percent, shared, rows[0]["x"] != rows[0]["y"]):
             for q in near:
                 if group[q] != group[k] and linked(sets_[q], sets_[k], percent):
                     found.append((rows[q]["node"], rows[k]["node"]))
@@ -314,7 +340,7 @@ def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
     percent: int = PERCENT,
-    groups: int = GROUPS,
+    groups: int | None = None,
     group_size: int = GROUP_SIZE,
 ) -> DataFrame:
     """Components of near-duplicate `docs` (doc_id, text): (doc_id, k1, n_shingles,
@@ -327,8 +353,11 @@ def near_duplicates(
     the component, `kept` says that it is the row's own; null ids count only where a
     component has no other, and a row without one is kept if its component has none.
     Rows of one id are looked at each for itself.  Other columns are not read.
+    `groups` group hashes of each collection, as many as `percent` needs by default.
     """
     spark = docs.sparkSession
+    groups = groups or table_groups(percent, group_size)
+    shared = least_shared(percent, groups, group_size)
     rows = saved(sketch(docs, shingle, groups, group_size), "sketch")
     classes = saved(
         rows.where("n_shingles > 0")
@@ -357,7 +386,7 @@ def near_duplicates(
     labels = components(known.union(_confirmed(rest.select("u", "v"), sets, percent)))
     tidy(spark)
     known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    labels = components(known.union(_leftover(close, labels, sets, percent)))
+    labels = components(known.union(_leftover(close, labels, sets, percent, shared)))
     tidy(spark)
 
     named = _labelled(classes.select("node", "least"), labels, "node", "component")

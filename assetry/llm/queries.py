@@ -28,7 +28,7 @@ def op4_topk(spark, sf_dir):
 
 
 def op5_minhash(spark, sf_dir):
-    found = minhash.near_duplicates(documents(spark, sf_dir))
+    found = minhash.near_duplicates(documents(spark, sf_dir), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

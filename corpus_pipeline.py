@@ -16,6 +16,7 @@ from assetry.llm import minhash, packing, quality, substring, toxicity
 from assetry.llm.common import labels, map_batches, new_folder, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NEAR_PERCENT = 80  # documents are near-duplicates from this similarity on
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id.
     Rows of equal id and text are one document."""
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id", "k1").distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id", "k1").distinct()
     kept = kept.withColumnRenamed("doc_id", "kept_id")
     keyed = docs.withColumn("k1", F.xxhash64("doc_id", "text"))
     same = (keyed["k1"] == kept["k1"]) & keyed["doc_id"].eqNullSafe(kept["kept_id"])

@@ -112,3 +112,9 @@ def test_table_count():
     """At the threshold fewer than one pair in ten thousand shares no table."""
     agree = 1 - (1 - 0.85**minhash.GROUP_SIZE) ** minhash.GROUPS
     assert 1 - agree**2 < 1e-4
+
+
+def test_sizes_follow_the_threshold():
+    assert minhash.table_groups(85) == minhash.GROUPS and minhash.table_groups(80) == 14
+    assert minhash.least_shared(85, 11) == 4 and minhash.least_shared(80, 14) == 4
+    assert minhash.least_shared(80, 3) == 2

@@ -1,12 +1,13 @@
 """The pipeline: stages against plain versions, the registration, a small run."""
 
 import os
+import random
 
 import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline as pipeline
-from tests.llm.plain import near_components, odd_texts, windows
+from tests.llm.plain import near_components, odd_texts, shingles, windows
 
 SF_DIR = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.001")
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,6 +49,25 @@ def test_one_of_each(spark, docs, sf_dir):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_near_duplicates_from_four_fifths_on(spark):
+    """Pairs of a similarity between 0.80 and 0.85 are one document, those below two."""
+    rng, rows, near = random.Random(11), [], 0
+    for k in range(60):
+        words = [f"p{k}w{rng.randrange(10**6)}" for _ in range(104)]
+        other = list(words)
+        for at in range(20, 20 + 20 * (2 + k % 2), 20):  # 90 of 110 shingles, or 85 of 115
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = (shingles(t) for _, t in rows[-2:])
+        near += 0.80 <= len(a & b) / len(a | b) < 0.85
+        assert len(a & b) / len(a | b) < 0.85
+    assert near == 30
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCUMENTS)
+    got = sorted(r.doc_id for r in pipeline.one_of_each(spark, docs, "").collect())
+    assert got == [i for (i, _), c in zip(rows, near_components(rows, 80)) if c == i]
+    assert len(got) == 90
+
+
 def test_no_repeats(spark, docs, sf_dir):
     rows = odd_texts()
     want = []
