@@ -16,9 +16,9 @@ def held_out(doc_id="doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, y) of at most `rows` labelled documents that are not held out, chosen
-    by a hash of their id.  Null labels do not count; of several labels of one id the
-    largest does."""
+    """(doc_id, text, y) of at most `rows` labelled rows that are not held out, chosen
+    by a hash of their id, and one row of each id by a hash of its text.  Null labels
+    do not count; of several labels of one id the largest does."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
@@ -26,7 +26,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # combined before the shuffle: an id of very many rows is one row per task
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(
+        "doc_id", "text", "y"
+    )
 
 
 def fit_logistic(

@@ -8,7 +8,7 @@ from itertools import product
 import pytest
 
 from assetry.llm import quality, rules, toxicity
-from assetry.llm.fitting import held_out
+from assetry.llm.fitting import held_out, training_sample
 from tests.llm.plain import frame, odd_texts
 
 SF_DIR = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
@@ -115,6 +115,17 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.classify(frame(spark, rows).limit(0), labels).count() == 0
 
 
+def test_training_sample_is_bounded(spark):
+    """A labelled id of many rows is one row of the sample."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"other {k}") for k in range(200)] + [(ids[1], None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], LABELS)
+    for limit in (10, 1000):
+        sample = training_sample(frame(spark, rows), labels, "quality", limit).collect()
+        assert len(sample) == len({r.doc_id for r in sample}) == min(limit, len(ids))
+        assert all((r.doc_id, r.text) in rows and r.y == 1 for r in sample)
+
+
 def test_labels_are_learned_outside_the_fold_only(spark):
     """Turning the held-out labels round changes no score."""
     rows = [(i, f"the {'vile brute' if i % 4 == 0 else 'kind friend'} went home {i}") for i in range(400)]
