@@ -177,7 +177,7 @@ def _shingles_of(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k1"), "text")
     return map_batches(
-        keyed.join(classes.select("k1", "node"), "k1").select("node", "text"),
+        keyed.join(classes.select("head.k1", "node"), "k1").select("node", "text"),
         make,
         "node long, shingles binary",
     )
@@ -344,7 +344,7 @@ def near_duplicates(
     group_size: int = GROUP_SIZE,
 ) -> DataFrame:
     """Components of near-duplicate `docs` (doc_id, text): (doc_id, k1, n_shingles,
-    component_id, kept), one row per row; `k1` is xxhash64(doc_id, text).
+    component_id, kept, chosen), one row per row; `k1` is xxhash64(doc_id, text).
 
     A document's set holds its distinct runs of `shingle` words (A-Z lower-cased);
     a text with fewer words is one run; a null text or one without words has an
@@ -352,7 +352,9 @@ def near_duplicates(
     100 * intersection >= percent * union.  `component_id` is the smallest doc_id of
     the component, `kept` says that it is the row's own; null ids count only where a
     component has no other, and a row without one is kept if its component has none.
-    Rows of one id are looked at each for itself.  Other columns are not read.
+    Rows of one id are looked at each for itself, so several of a component may be
+    kept; `chosen` is one content of the component only, by the smallest (doc_id, k1)
+    with null ids last.  Other columns are not read.
     `groups` group hashes of each collection, as many as `percent` needs by default.
     """
     spark = docs.sparkSession
@@ -363,8 +365,7 @@ def near_duplicates(
         rows.where("n_shingles > 0")
         .groupBy("node", "set2")
         .agg(
-            F.min("doc_id").alias("least"),
-            F.min("k1").alias("k1"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1")).alias("head"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("a").alias("a"),
             F.first("b").alias("b"),
@@ -389,20 +390,22 @@ def near_duplicates(
     labels = components(known.union(_leftover(close, labels, sets, percent, shared)))
     tidy(spark)
 
-    named = _labelled(classes.select("node", "least"), labels, "node", "component")
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = named.join(roots, "component").select("node", "component_id")
+    named = _labelled(classes.select("node", "head"), labels, "node", "component")
+    roots = named.groupBy("component").agg(F.min("head").alias("head"))
+    of_node = named.join(roots.withColumnRenamed("head", "root"), "component").select("node", "root")
     # only components of several rows differ from the row's own id
+    full = F.col("n_shingles") > 0
     return (
         rows.select("doc_id", "k1", "n_shingles", "node")
-        .join(of_node.groupBy("node").agg(F.min("component_id").alias("component_id")), "node", "left")
+        .join(of_node.groupBy("node").agg(F.min("root").alias("root")), "node", "left")
         .select(
             "doc_id",
             "k1",
             "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("component_id"))
-            .otherwise(F.col("doc_id"))
-            .alias("component_id"),
+            F.when(full, F.col("root.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(full, F.col("root.k1")).otherwise(F.col("k1")).alias("root_k1"),
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .withColumn("chosen", F.col("kept") & (F.col("k1") == F.col("root_k1")))
+        .drop("root_k1")
     )

@@ -32,10 +32,11 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id.
+    """One document of each group of near-duplicates: that with the smallest id, null
+    after all others, and of several with that id the one of the smallest content hash.
     Rows of equal id and text are one document."""
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id", "k1").distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("chosen").select("doc_id", "k1").distinct()
     kept = kept.withColumnRenamed("doc_id", "kept_id")
     keyed = docs.withColumn("k1", F.xxhash64("doc_id", "text"))
     same = (keyed["k1"] == kept["k1"]) & keyed["doc_id"].eqNullSafe(kept["kept_id"])

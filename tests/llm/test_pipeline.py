@@ -68,6 +68,21 @@ def test_near_duplicates_from_four_fifths_on(spark):
     assert len(got) == 90
 
 
+def test_one_of_null_and_repeated_ids(spark):
+    """Near copies under one id, or under none, are one document; other texts of that
+    id stay."""
+    base = [f"w{k}" for k in range(120)]
+    copies = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (0, 60, 119)]
+    nulls = [t.replace("w", "n") for t in copies]
+    rows = [(1, t) for t in copies] + [(2, copies[0])] + [(None, t) for t in nulls]
+    rows += [(1, "quite another text of six words"), (None, "and one more without an id"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCUMENTS).repartition(3)
+    got = [(r.doc_id, r.text) for r in pipeline.one_of_each(spark, docs, "").collect()]
+    assert sum(t in copies for _, t in got) == 1 and sum(t in nulls for _, t in got) == 1
+    assert all(i == 1 for i, t in got if t in copies)
+    assert set(rows[-4:]) <= set(got) and len(got) == 6
+
+
 def test_no_repeats(spark, docs, sf_dir):
     rows = odd_texts()
     want = []
