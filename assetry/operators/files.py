@@ -61,14 +61,16 @@ def specification_error(filename: Column, specification: Column, specs: Registry
 
 
 def add_specification(df: DataFrame, specs: Registry) -> DataFrame:
-    """Add `specification` from the file name and the first `file_error`."""
+    """Add `specification` from the file name and the first `file_error`; a row with a
+    `listing_error` has that and no specification."""
     token = F.col("_token")
+    unlisted = F.col("listing_error") if "listing_error" in df.columns else F.lit(None).cast("string")
     return (
         df.withColumn("_token", naming.specification_token(F.col("filename")))
-        .withColumn("specification", F.when(token != "", token))
+        .withColumn("specification", F.when((token != "") & unlisted.isNull(), token))
         .withColumn(
             "file_error",
-            specification_error(F.col("filename"), F.col("specification"), specs),
+            F.coalesce(unlisted, specification_error(F.col("filename"), F.col("specification"), specs)),
         )
         .drop("_token")
     )
@@ -242,7 +244,7 @@ def file_rows(listing: DataFrame, specs: Registry, root: str) -> DataFrame:
         c
         for c in listing.columns
         if c not in ("filepath", "filename", "extension", *IMAGE_TRAITS)
-        and c not in ("user_traits", "trait_errors")
+        and c not in ("user_traits", "trait_errors", "listing_error")
     ]
     df = with_name(listing, specs)
     df = add_asset_path(df, specs)

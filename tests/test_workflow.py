@@ -1,9 +1,11 @@
+import errno
 import json
 import os
 
 import pytest
 
 from assetry.operators import publish
+from assetry.plans import catalog as plans
 from assetry.plans import workflow as w
 from assetry.sources import listing, metadata, progress, staging, traits
 from assetry.specs import SMALL_SPECS
@@ -50,6 +52,55 @@ def test_scan_lists_hidden_and_empty_files(spark, tmp_path):
         listing.scan_tree(spark, str(tmp_path / "absent"))
 
 
+def test_unreadable_directories_are_rows(tmp_path, monkeypatch):
+    """A forbidden or vanished directory is a row; other errors end the task."""
+    for name in ("a/x", "a/b/y", "a/gone/z", "c/w"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    errors, real = {"b": errno.EACCES, "gone": errno.ENOENT}, os.scandir
+
+    def scandir(path):
+        code = errors.get(os.path.basename(path))
+        if code:
+            raise OSError(code, os.strerror(code), path)
+        return real(path)
+
+    monkeypatch.setattr(listing.os, "scandir", scandir)
+    for subtrees in ("1", "64"):
+        reader = listing.TreeReader({"path": str(tmp_path), "subtrees": subtrees})
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        found = {os.path.relpath(r["filepath"], tmp_path): r["listing_error"] for r in rows}
+        assert len(rows) == 4 and found == {
+            "a/x": None,
+            "c/w": None,
+            "a/b": "PermissionError( Permission denied )",
+            "a/gone": "FileNotFoundError( No such file or directory )",
+        }
+        for code in (errno.EIO, errno.ESTALE):
+            monkeypatch.setitem(errors, "c", code)
+            with pytest.raises(OSError):
+                [list(reader.read(p)) for p in reader.partitions()]
+        monkeypatch.delitem(errors, "c")
+    absent = listing.TreeReader({"path": str(tmp_path / "no mount")})
+    with pytest.raises(FileNotFoundError):
+        list(absent.read(listing.Subtrees((str(tmp_path / "no mount/a"),), True)))
+
+
+def test_unreadable_directories_in_the_catalog(spark, tmp_path):
+    name = "p-proj001_s-spec002_d-x_v001"
+    rows = [(f"/r/{name}", name, "", "PermissionError( no )"), (f"/r/{name}/{name}_f0001.jpg", f"{name}_f0001.jpg", "jpg", None)]
+    table = spark.createDataFrame(rows, "filepath string, filename string, extension string, listing_error string")
+    found = plans.update(traits.read_traits(table, SMALL_SPECS), SMALL_SPECS, "/r").collect()
+    by_path = {r.filepath: r for r in found}
+    r = by_path[f"/r/{name}"]
+    assert len(found) == 2 and r.file_error == "PermissionError( no )"
+    assert r.specification is None and r.asset_path is None and r.file_traits is None
+    assert not (by_path[f"/r/{name}/{name}_f0001.jpg"].file_error or "").startswith("Perm")
+    assert "listing_error" not in r
+    with pytest.raises(Exception, match="PermissionError"):
+        listing.complete(table).collect()
+
+
 def test_manifest(spark, tmp_path):
     path = str(tmp_path / "m")
     spark.createDataFrame([("/a/b.png", 4)], "filepath string, width int").write.parquet(path)
