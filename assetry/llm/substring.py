@@ -16,7 +16,7 @@ Three jobs, each with one exchange of hashes and no pair of documents:
 3. the ranges are joined to the documents and cut out.
 
 Hashes travel in packed rows, one per batch of documents and partition.  An anchor
-that a batch can decide for itself (a block that stands twice in it) goes out once
+or window that a batch can decide for itself (it stands twice in it) goes out once
 for the batch, so a passage that a third of all documents share costs one entry
 for each batch.  Runs are told apart by 32 bits within their partition (an anchor
 too many costs time, no result); windows by 80 bits of a 128-bit pair.
@@ -53,8 +53,9 @@ GROUP_HASHES = 1 << 21  # hashes that one partition of an exchange sorts, about
 
 _SENT = "part int, batch long, kind int, a binary, b binary, c binary"
 _ANSWER = "batch long, kind int, a binary, b binary, c binary"
-_PROBES, _OWN = 0, 1
+_PROBES, _OWN, _DECIDED = 0, 1, 2
 _NOBODY = 0xFFFF
+_NO_PLACE = 0xFFFFFFFF
 
 
 def _blob(values: np.ndarray, kind: str) -> bytes:
@@ -269,14 +270,24 @@ def _send_windows(n_parts: int, window: int):
             left, right = runs.all[place], runs.all[place + window - block]
             high = joined_hash(left, right)
             tail = (mixed(right * np.uint64(0xD6E8FEB86659FD93) + left) & np.uint64(0xFFFF)).astype(np.uint16)
+            # decided here: the places that stand twice pass with the batch's own row;
+            # one entry of each window tells the others
+            order, starts, run_of = _runs_of_equal(tail, high)
+            twice = np.diff(np.append(starts, len(order))) >= 2
+            of_row = twice[run_of]
             rows.append((
                 batch % n_parts, batch, _OWN, _keys_blob(group),
                 who.tobytes(), _blob(at, "<u4"),
             ))
-            to = (high % np.uint64(n_parts)).astype(np.int64)
+            rows.append((batch % n_parts, batch, _DECIDED, b"", b"", _blob(order[of_row], "<u4")))
+            first, other = order[starts[twice]], np.sort(order[~of_row])
+            sent = np.concatenate((first, other))
+            index = np.concatenate((np.full(len(first), _NO_PLACE), other))
+            to = (high[sent] % np.uint64(n_parts)).astype(np.int64)
             for p, own in _split(to, n_parts):
                 rows.append((
-                    p, batch, _PROBES, _blob(high[own], "<u8"), _blob(tail[own], "<u2"), _blob(own, "<u4"),
+                    p, batch, _PROBES, _blob(high[sent[own]], "<u8"), _blob(tail[sent[own]], "<u2"),
+                    _blob(index[own], "<u4"),
                 ))
             yield batch_of(arrow_schema(_SENT), rows)
 
@@ -286,7 +297,7 @@ def _send_windows(n_parts: int, window: int):
 def _find_repeats(table: pa.Table) -> pa.Table:
     """One partition of the windows: the places of those that stand twice."""
     rows = table.to_pylist()
-    out = [(r["batch"], _OWN, r["a"], r["b"], r["c"]) for r in rows if r["kind"] == _OWN]
+    out = [(r["batch"], r["kind"], r["a"], r["b"], r["c"]) for r in rows if r["kind"] != _PROBES]
     rows = [r for r in rows if r["kind"] == _PROBES]
     if rows:
         high = [_read(r["a"], "<u8") for r in rows]
@@ -299,6 +310,7 @@ def _find_repeats(table: pa.Table) -> pa.Table:
         ends = np.cumsum(sizes)
         for r, a, b in zip(rows, ends - sizes, ends):
             own = _read(r["c"], "<u4")[twice[a:b]]
+            own = own[own != _NO_PLACE]
             if len(own):
                 out.append((r["batch"], _PROBES, b"", b"", own.tobytes()))
     return pa.Table.from_batches([batch_of(arrow_schema(_ANSWER), out)])
@@ -326,7 +338,7 @@ def _ranges_of_docs(window: int):
         if own is not None:
             keys = _read(own["a"], "<i8").reshape(-1, 2)
             who, at = _read(own["b"], "<u2"), _read(own["c"], "<u4").astype(np.int64)
-            places = [_read(r["c"], "<u4") for r in rows if r["kind"] == _PROBES]
+            places = [_read(r["c"], "<u4") for r in rows if r["kind"] != _OWN]
             hit = np.sort(np.concatenate(places)) if places else np.zeros(0, np.uint32)
             docs, starts = np.unique(who[hit], return_index=True)
             for d, s in zip(docs.tolist(), np.split(at[hit], starts[1:]) if len(docs) else []):

@@ -5,9 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assetry.llm import minhash, substring
+from assetry.llm.common import WordHashes, arrow_schema
 from tests.llm.plain import frame, near_components, odd_texts, shingles, windows
 
 
@@ -43,6 +45,25 @@ def test_random_repeats(spark, monkeypatch, window):
     }
 
 
+def test_windows_of_a_batch_go_out_once():
+    """A passage of many documents costs one entry for each of its windows and batch."""
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([f"a{i}", *passage, f"z{i}"]) for i in range(50)]
+    codes = substring._codes(substring._Runs(WordHashes(), [t.encode().split() for t in texts[:1]], 35).hash, 1)
+    anchors = np.unique(codes[1].astype("<u8")).tobytes()
+    table = pa.RecordBatch.from_pylist(
+        [{"k1": i, "k2": i, "anchors": anchors, "text": t} for i, t in enumerate(texts)]
+    )
+    rows = [r for b in substring._send_windows(1, 35)([table]) for r in b.to_pylist()]
+    sent = sum(len(r["a"]) // 8 for r in rows if r["kind"] == substring._PROBES)
+    # 26 windows of the passage once, those over its ends for each text
+    assert sent <= 26 + 2 * len(texts)
+    answers = substring._find_repeats(pa.Table.from_pylist(rows, pa.schema(arrow_schema(substring._SENT))))
+    ranges = substring._ranges_of_docs(35)(answers).to_pylist()
+    assert len(ranges) == 50
+    assert all(np.frombuffer(r["ranges"], "<u4").tolist() == [1, 61] for r in ranges)
+
+
 def test_ranges():
     assert substring.ranges_of(np.array([0, 1, 35, 36, 100]), 35).tolist() == [[0, 71], [100, 135]]
     assert substring.kept_words([b"a"] * 3, None) == [b"a"] * 3
