@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetry.llm import bpe, minhash, packing, quality, rules, substring, topk, toxicity, warc, wavelet
+from assetry.llm import bpe, merkle, minhash, packing, quality, rules, sql, substring, topk, toxicity, warc, wavelet
 from assetry.llm.common import documents, labels, ship_package
 
 
@@ -86,6 +86,10 @@ def op10_packing(spark, sf_dir):
     )
 
 
+def op12_merkle(spark, sf_dir):
+    return merkle.prove(merkle.build(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_wavelet": op1_wavelet,
     "op2_bpe": op2_bpe,
@@ -97,6 +101,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op12_merkle": op12_merkle,
 }
 
-ORACLE = {"op8_rules": rules.LEDGER_SQL}
+ORACLE = {"op8_rules": rules.LEDGER_SQL, "op12_merkle": sql.MERKLE}
