@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetry.llm import bpe, merkle, minhash, packing, quality, rules, sql, substring, topk, toxicity, warc, wavelet
+from assetry.llm import (
+    bpe,
+    conversations,
+    merkle,
+    minhash,
+    packing,
+    quality,
+    rules,
+    sql,
+    substring,
+    topk,
+    toxicity,
+    warc,
+    wavelet,
+)
 from assetry.llm.common import documents, labels, ship_package
 
 
@@ -90,6 +104,13 @@ def op12_merkle(spark, sf_dir):
     return merkle.prove(merkle.build(documents(spark, sf_dir)))
 
 
+def op13_conversations(spark, sf_dir):
+    ship_package(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    told = conversations.summaries(conversations.damaged(rows))
+    return conversations.of_every(rows, told)
+
+
 QUERIES = {
     "op1_wavelet": op1_wavelet,
     "op2_bpe": op2_bpe,
@@ -102,6 +123,11 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op12_merkle": op12_merkle,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLE = {"op8_rules": rules.LEDGER_SQL, "op12_merkle": sql.MERKLE}
+ORACLE = {
+    "op8_rules": rules.LEDGER_SQL,
+    "op12_merkle": sql.MERKLE,
+    "op13_conversations": sql.CONVERSATIONS,
+}

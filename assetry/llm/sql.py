@@ -72,3 +72,103 @@ onward AS (
 SELECT p.doc_id, p.source, p.leaf, s.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256,
        w.folded AS folded_root, w.folded = r.digest AS verified
 FROM placed p JOIN above_path_5 w USING (key) JOIN of_source_tops s ON p.tree = s.tree, above_tops r"""
+
+
+def _conversations() -> str:
+    """Costs and texts that remain, from the last row of a conversation back to the first: for
+    each state of the grammar the cheapest (cost, audit), and the lines that it leaves."""
+    states = ("0", "s", "u", "a")
+    made = {"0": "u", "s": "u", "u": "a", "a": "u"}
+    role = {"0": "user", "s": "user", "u": "assistant", "a": "user"}
+    kept = {"0": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+    def with_insertions(own: dict[str, str], name: str) -> str:
+        """`own` has a state's cheapest struct {c, e, t} without insertions before."""
+
+        def inserted(state: str, times: int) -> str:
+            for_lines, at = [], state
+            for _ in range(times):
+                for_lines.append(f"{role[at]}:")
+                at = made[at]
+            lines = "".join(f"'{x}' || chr(10) || " for x in for_lines)
+            v = own[at]
+            return (
+                f"{{'c': {v}.c + {5 * times}, 'e': '{'I' * times}' || {v}.e, 't': {lines}{v}.t}}"
+                if times
+                else v
+            )
+
+        return ", ".join(
+            f"list_min([{', '.join(inserted(s, k) for k in range(4))}]) AS {name}{s}" for s in states
+        )
+
+    never = "{'c': 1000000000, 'e': '', 't': ''}"
+    last = {s: "{'c': 0, 'e': '', 't': ''}" if s in "0a" else never for s in states}
+    # structs compare by cost, then audit; what they leave is one and the same for both
+    step = {}
+    for s in states:
+        ways = [f"{{'c': v{s}.c + 2, 'e': 'D' || v{s}.e, 't': v{s}.t}}"]
+        line = "|| ':' || words || chr(10) ||"
+        for initial, to in kept[s].items():
+            ways.append(
+                f"CASE WHEN good AND initial = '{initial}' THEN {{'c': v{to}.c + extra, 'e': 'K' || v{to}.e, "
+                f"'t': role {line} v{to}.t}} ELSE {never} END"
+            )
+        to = made[s]
+        ways.append(
+            f"CASE WHEN good THEN {{'c': v{to}.c + 1 + extra, 'e': 'R' || v{to}.e, "
+            f"'t': '{role[s]}' {line} v{to}.t}} ELSE {never} END"
+        )
+        step[s] = f"list_min([{', '.join(ways)}])"
+    columns = ", ".join(f"v{s}" for s in states)
+    own = ", ".join(f"{step[s]} AS w{s}" for s in states)
+    code = crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    return f"""WITH RECURSIVE coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS words, {code} % 20 AS code
+    FROM conversations),
+    hurt AS (
+        SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+               CASE code WHEN 1 THEN '' WHEN 2 THEN translate(words, '.!?', '') ELSE words END AS words,
+               unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy
+        FROM coded WHERE code <> 0),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || ':' || words), role)
+                  AS place FROM hurt),
+    judged AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, role, words ORDER BY place) > 1 AS again,
+               regexp_extract(words, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS final_
+        FROM placed),
+    symbols AS (
+        SELECT *, left(role, 1) AS initial,
+               CASE WHEN final_ = '' THEN 'blank' WHEN again THEN 'duplicate'
+                    WHEN final_ NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+               lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS following
+        FROM judged),
+    told AS (
+        SELECT conv_id, count(*) AS n_rows,
+               coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (WHERE fault = 'blank') AS blank,
+               count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+               count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+               count(*) FILTER (WHERE following IS NOT NULL
+                                AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM symbols GROUP BY conv_id),
+    costs(conv_id, place, {columns}) AS (
+        SELECT conv_id, n_rows + 1, {with_insertions(last, "v")} FROM told
+        UNION ALL
+        SELECT conv_id, place, {with_insertions({s: f"w{s}" for s in states}, "v")}
+        FROM (SELECT conv_id, place, {own}
+              FROM (SELECT c.*, y.role, y.words, y.initial, y.fault IN ('', 'truncated') AS good,
+                           CASE WHEN y.fault = 'truncated' THEN 5 ELSE 0 END AS extra
+                    FROM (SELECT conv_id, place - 1 AS place, {columns} FROM costs) c
+                    JOIN symbols y ON c.conv_id IS NOT DISTINCT FROM y.conv_id AND c.place = y.place)))
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(v0.c, 0) AS BIGINT) AS cost, coalesce(v0.e, '') AS audit,
+       sha256(coalesce(left(v0.t, greatest(length(v0.t) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN told t ON i.conv_id IS NOT DISTINCT FROM t.conv_id
+LEFT JOIN (SELECT * FROM costs WHERE place = 1) c ON i.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+CONVERSATIONS = _conversations()
