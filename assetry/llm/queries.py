@@ -10,6 +10,7 @@ from assetry.llm import (
     merkle,
     minhash,
     packing,
+    pii,
     quality,
     rules,
     sql,
@@ -100,6 +101,10 @@ def op10_packing(spark, sf_dir):
     )
 
 
+def op11_pii(spark, sf_dir):
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
 def op12_merkle(spark, sf_dir):
     return merkle.prove(merkle.build(documents(spark, sf_dir)))
 
@@ -122,6 +127,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_pii": op11_pii,
     "op12_merkle": op12_merkle,
     "op13_conversations": op13_conversations,
 }
