@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assetry.functions import paths
 from assetry.functions.naming import format_name
-from assetry.operators.grouping import PART_SIZE, add_part, collect_lists, null_if_empty
+from assetry.operators.grouping import PART_SIZE, null_if_empty, part_lists
 
 # Kinds of metadata and the directories of a staging tree.
 METADATA_TYPES = ("asset", "file", "asset-chunk", "file-chunk")
@@ -101,12 +101,8 @@ def asset_lists(catalog: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     rows = catalog.where(F.col("asset_path").isNotNull()).select(
         "asset_path", "filepath", "file_traits"
     )
-    rows = add_part(rows, ["asset_path"], "filepath", part_size)
-    lists = collect_lists(
-        rows,
-        ["asset_path", "part"],
-        "filepath",
-        {t: F.col("file_traits")[t] for t in TRAIT_LISTS},
+    lists = part_lists(
+        rows, ["asset_path"], "filepath", {t: F.col("file_traits")[t] for t in TRAIT_LISTS}, part_size
     )
     return lists.select(
         "asset_path", "part", *[null_if_empty(F.col(t)).alias(t) for t in TRAIT_LISTS]
@@ -121,19 +117,23 @@ def _named_files(catalog: DataFrame) -> DataFrame:
 def published_assets(catalog: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """asset_id, asset_name, n_parts of every asset with at least one valid file; the
     name is that of its first valid file."""
-    valid = F.col("asset_valid")
     return (
         _named_files(catalog)
         .groupBy("asset_id")
-        .agg(
-            F.min(F.when(valid, F.struct("filepath", "asset_name"))).alias("first"),
-            F.ceil(F.count("*") / part_size).alias("n_parts"),
-        )
+        .agg(*[v.alias(n) for n, v in _whole_asset(part_size).items()])
         .where(F.col("first").isNotNull())
         .select("asset_id", F.col("first.asset_name").alias("asset_name"), "n_parts")
     )
 
 
+def _whole_asset(part_size: int) -> dict[str, Column]:
+    """Aggregates over the files of an asset."""
+    return {
+        "first": F.min(F.when(F.col("asset_valid"), F.struct("filepath", "asset_name"))),
+        "n_parts": F.ceil(F.count("*") / part_size),
+    }
+
+
 def asset_metadata(
     catalog: DataFrame, staging: str, part_size: int = PART_SIZE
 ) -> DataFrame:
@@ -145,11 +145,12 @@ def asset_metadata(
     numbered by `part`, of `n_parts`, and put together in that order they are the
     same whatever the size.  A part without a valid file has empty lists.
     """
-    keys = ["asset_id", "asset_path_relative", "asset_type"]
+    # these are the same for all files of an asset
+    constant = ["asset_path_relative", "asset_type"]
     rows = _named_files(catalog).select(
-        *keys, "asset_valid", "file_id", "filename", "filepath", "filepath_relative", "file_traits"
-    )
-    rows = add_part(rows, ["asset_id"], "filepath", part_size)
+        "asset_id", *constant, "asset_valid", "asset_name", "file_id", "filename", "filepath",
+        "filepath_relative", "file_traits",
+    )
     valid = F.col("asset_valid")
     listed = {
         "file_ids": "file_id",
@@ -157,16 +158,19 @@ def asset_metadata(
         "filepaths": "filepath",
         "filepaths_relative": "filepath_relative",
     }
-    lists = collect_lists(
+    lists = part_lists(
         rows,
-        [*keys, "part"],
+        ["asset_id"],
         "filepath",
         {n: F.when(valid, F.col(c)) for n, c in listed.items()}
         | {f"t_{t}": F.col("file_traits")[t] for t in TRAIT_LISTS},
+        part_size,
+        {c: F.min(c) for c in constant} | _whole_asset(part_size),
     )
     traits = F.struct(*[null_if_empty(F.col(f"t_{t}")).alias(t) for t in TRAIT_LISTS])
     return (
-        lists.join(published_assets(catalog, part_size), "asset_id")
+        lists.where(F.col("first").isNotNull())
+        .withColumn("asset_name", F.col("first.asset_name"))
         .withColumn("asset_traits", traits)
         .withColumn("asset_path", _content(F.col("asset_path_relative"), staging))
         .select(*ASSET_DOCUMENT)
