@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ HEAD_COLUMNS = (
 )
 _SCALARS = (T.StringType, T.BooleanType, T.NumericType)
 _READ_ONLY = re.compile(r"^\s*\(*\s*(select|with|values)\b", re.IGNORECASE)
+_naming = threading.Lock()
 _WRITES = re.compile(r"\binsert\s+(into|overwrite)\b", re.IGNORECASE)
 
 
@@ -138,13 +140,14 @@ def search(data: DataFrame, query: str) -> DataFrame:
     if not _READ_ONLY.match(bare) or _WRITES.search(bare):
         raise ValueError("Only SELECT, WITH and VALUES statements can be searched.")
     spark = data.sparkSession
-    # a view of that name of the caller's own is put back
-    known = spark.catalog.tableExists("data") and spark.catalog.getTable("data").isTemporary
-    own = spark.table("data") if known else None
-    data.createOrReplaceTempView("data")
-    try:
-        return spark.sql(query)
-    finally:
-        spark.catalog.dropTempView("data")
-        if own is not None:
-            own.createOrReplaceTempView("data")
+    # a query is bound to its tables when it is made, so the name is taken only that long
+    with _naming:
+        known = spark.catalog.tableExists("data") and spark.catalog.getTable("data").isTemporary
+        own = spark.table("data") if known else None  # a view of the caller's is put back
+        data.createOrReplaceTempView("data")
+        try:
+            return spark.sql(query)
+        finally:
+            spark.catalog.dropTempView("data")
+            if own is not None:
+                own.createOrReplaceTempView("data")

@@ -6,6 +6,7 @@ from the listing derived of `lineitem` (see sources.fixtures).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,11 @@ from assetry.functions import rules as R
 from assetry.operators import assets, files, graph, grouping, publish, set_rules
 from assetry.plans import catalog as plans
 from assetry.plans.searches import CTE_SEARCH, GROUP_CONCAT_SEARCH, SEARCHES, SPARK_LIST
+from assetry.plans.store import Store
 from assetry.session import configure
 from assetry.sources import fixtures, listing, metadata, progress, traits
 from assetry.sources.fixtures import ROOT, STAGING
-from assetry.sources.tables import materialized
+from assetry.sources.tables import materialized, shared_folder
 from assetry.specs import LISTING_SPECS, Spec, registry, spec_table, trait
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +53,31 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.update(_listing(spark, sf_dir).drop("ok", "ln", "pk"), SPECS, ROOT)
 
 
+# Listings as they were before and are after changes of all kinds (columns `width`, `ok`, `ln`, `pk`).
+BEFORE = ("pk % 13 <> 1", "if(pk % 17 = 2 AND width IS NOT NULL, 40, width)")
+AFTER = ("pk % 11 <> 5", "width")
+_stores: dict[tuple, Store] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, *states: tuple[str, str]) -> Store:
+    """The saved catalog of a folder of tables, made once in an application and read by all
+    queries; with a version for each state of its listing (by default the whole one)."""
+    key = (spark.sparkContext.applicationId, sf_dir, states)
+    if key not in _stores or not _stores[key].versions():
+        store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4()}")
+        for kept, width in states or [("true", "width")]:
+            table = _listing(spark, sf_dir).where(kept).withColumn("width", F.expr(width).cast("int"))
+            store.update(table.drop("ok", "ln", "pk"), SPECS, ROOT)
+        _stores[key] = store
+    return _stores[key]
+
+
 def _saved_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(_catalog(spark, sf_dir), "catalog")
+    return _store(spark, sf_dir).read()
 
 
 def _data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.read_files(_catalog(spark, sf_dir))
+    return plans.read_files(_saved_catalog(spark, sf_dir))
 
 
 def _text(array: Column) -> Column:
@@ -99,13 +120,13 @@ def filter_include_exclude(spark, sf_dir):
 
 @query
 def file_metadata(spark, sf_dir):
-    docs = publish.file_metadata(_catalog(spark, sf_dir), STAGING)
+    docs = publish.file_metadata(_saved_catalog(spark, sf_dir), STAGING)
     return docs.withColumn("file_traits", F.to_json("file_traits"))
 
 
 @query
 def file_chunk(spark, sf_dir):
-    docs = publish.file_metadata(_catalog(spark, sf_dir), STAGING)
+    docs = publish.file_metadata(_saved_catalog(spark, sf_dir), STAGING)
     return publish.json_lines(docs, publish.FILE_DOCUMENT)
 
 
@@ -139,7 +160,7 @@ def export_content_manifest(spark, sf_dir):
 
 @query
 def copy_plan(spark, sf_dir):
-    return publish.copy_plan(_catalog(spark, sf_dir), ROOT, STAGING)
+    return publish.copy_plan(_saved_catalog(spark, sf_dir), ROOT, STAGING)
 
 
 @query
@@ -154,7 +175,7 @@ def export_folders(spark, sf_dir):
 
 @query
 def export_items(spark, sf_dir):
-    return publish.export_items(_catalog(spark, sf_dir))
+    return publish.export_items(_saved_catalog(spark, sf_dir))
 
 
 @query
@@ -404,12 +425,12 @@ def read_files(spark, sf_dir):
 
 @query
 def read_scalar_columns(spark, sf_dir):
-    return plans.scalar_columns(_catalog(spark, sf_dir))
+    return plans.scalar_columns(_saved_catalog(spark, sf_dir))
 
 
 @query
 def valid_files(spark, sf_dir):
-    return publish.valid_files(_catalog(spark, sf_dir)).select("filepath", "asset_path")
+    return publish.valid_files(_saved_catalog(spark, sf_dir)).select("filepath", "asset_path")
 
 
 @query
@@ -573,7 +594,7 @@ def asset_traits(spark, sf_dir):
 
 @query
 def read_assets(spark, sf_dir):
-    return plans.read_assets(_catalog(spark, sf_dir))
+    return plans.read_assets(_saved_catalog(spark, sf_dir))
 
 
 @query
@@ -590,12 +611,12 @@ def coordinate_bounds(spark, sf_dir):
 
 @query
 def graph_nodes(spark, sf_dir):
-    return graph.graph_nodes(_catalog(spark, sf_dir))
+    return graph.graph_nodes(_saved_catalog(spark, sf_dir))
 
 
 @query
 def graph_edges(spark, sf_dir):
-    return graph.graph_edges(_catalog(spark, sf_dir))
+    return graph.graph_edges(_saved_catalog(spark, sf_dir))
 
 
 @query
@@ -747,6 +768,19 @@ def update(spark, sf_dir):
     return table.withColumn("file_traits", F.to_json("file_traits"))
 
 
+@query
+def catalog_update(spark, sf_dir):
+    """The second version of a catalog: files were added, removed and changed."""
+    table = _store(spark, sf_dir, BEFORE, AFTER).read()
+    return table.withColumn("file_traits", F.to_json("file_traits"))
+
+
+@query
+def catalog_changes(spark, sf_dir):
+    """Rows that the second version has otherwise than the first."""
+    return _store(spark, sf_dir, BEFORE, AFTER).changes(1, 2)
+
+
 # --- search --------------------------------------------------------------------
 
 

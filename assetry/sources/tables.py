@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by `spark.checkpoint.dir`; on a local master with none set,
     as in tests, a temporary folder made once per application."""
@@ -16,8 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a shared folder.")
-        folder = tempfile.mkdtemp(prefix="assetry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # the setting itself is fixed once a session runs
+        own = context.applicationId
+        if own not in _own_folders:
+            _own_folders[own] = tempfile.mkdtemp(prefix="assetry-")
+        folder = _own_folders[own]
     return folder.rstrip("/")
 
 
@@ -33,9 +40,39 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; keeps the partitioning."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's entries; none if there is no such folder."""
+    place, fs = _file_system(spark, folder)
+    if not fs.exists(place):
+        return []
+    return [status.getPath().getName() for status in fs.listStatus(place)]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, such as a manifest."""
+    place, fs = _file_system(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small text file; False, and nothing written, if it is already there."""
+    place, fs = _file_system(spark, path)
+    fs.mkdirs(place.getParent())
+    try:
+        stream = fs.create(place, False)
+    except Py4JJavaError as e:
+        if fs.exists(place):
+            return False
+        raise e
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True

@@ -584,6 +584,30 @@ ORACLE["graph_edges"] = f"""{_NODES}
            'root' || directory AS target FROM every
     WHERE regexp_extract(directory, '^(.*)/[^/]+$', 1) <> ''"""
 
+
+
+def _state(kept: str, width: str) -> str:
+    """The catalog of a listing that is not the whole one."""
+    return CATALOG.replace(
+        "listing AS (", "every AS (", 1
+    ).replace(
+        "FROM names)", f"FROM names), listing AS (SELECT * REPLACE (CAST({width} AS INTEGER) AS width) FROM every WHERE {kept})", 1
+    )
+
+
+_BEFORE = _state("pk % 13 <> 1", "CASE WHEN pk % 17 = 2 AND width IS NOT NULL THEN 40 ELSE width END")
+_AFTER = _state("pk % 11 <> 5", "width")
+ORACLE["catalog_update"] = f"""{_AFTER} SELECT {_CATALOG_COLUMNS}, asset_error, asset_valid,
+    asset_path_relative, filepath_relative FROM catalog"""
+ORACLE["catalog_changes"] = f"""SELECT coalesce(a.filepath, b.filepath) AS filepath,
+        CASE WHEN a.filepath IS NULL THEN 'added' WHEN b.filepath IS NULL THEN 'removed' ELSE 'changed' END AS change,
+        a.asset_path AS asset_path_before, b.asset_path AS asset_path_after,
+        a.asset_error AS asset_error_before, b.asset_error AS asset_error_after,
+        a.asset_valid AS asset_valid_before, b.asset_valid AS asset_valid_after
+    FROM ({_BEFORE} SELECT * FROM catalog) a FULL JOIN ({_AFTER} SELECT * FROM catalog) b ON a.filepath = b.filepath
+    WHERE a.filepath IS NULL OR b.filepath IS NULL OR a.asset_error IS DISTINCT FROM b.asset_error
+       OR a.asset_valid <> b.asset_valid OR a.file_traits IS DISTINCT FROM b.file_traits"""
+
 for _name, _sql in SEARCHES.items():
     ORACLE[_name] = f"{DATA} {_sql}"
 ORACLE["search_running_count"] = ORACLE["search_running_count"].replace(
