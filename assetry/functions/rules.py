@@ -55,12 +55,23 @@ class Rule:
         return F.when(self.fails(value), self.report(value))
 
 
+# What a set rule can ask for of the values of one asset: a column by name, see
+# operators.set_rules.MEASURES.
+Measures = Callable[[str], Column]
+
+
 @dataclass(frozen=True)
 class SetRule:
-    """Rule on all values of one asset, by name (see operators.set_rules)."""
+    """Rule on all values of one asset: does it fail, and the text to report then, from
+    measures of the values.  `names` says what the report goes on with: `values` or `points`
+    that are missing, `rare` points, or nothing.  Rules are told apart as each rules are."""
 
     name: str
     args: tuple = ()
+    fails: Callable[[Measures], Column] = field(compare=False, default=None)
+    report: Callable[[Measures], Column] = field(compare=False, default=None)
+    names: str | None = field(compare=False, default=None)
+    own: tuple = ()
 
 
 def as_text(value: Column) -> Column:
@@ -134,45 +145,64 @@ def is_extension() -> Rule:
     return Rule("extension", (), lambda v: v.rlike(regex), _quoted("extension"))
 
 
-def _like(value: Column, other: Any) -> Column:
-    """The value as what it is compared with; null where it cannot be read so, which
-    no rule passes.  A text trait never ends the job over a number."""
+def _reads(value: Column, other: Any) -> tuple[Column, Column | None]:
+    """The value as what it is compared with; null where it cannot be read so, which no rule
+    passes.  Beside an integer it is read twice: as a double, and as a long for values that
+    no double tells apart.  A text trait never ends the job over a number."""
     if isinstance(other, bool):
-        return value.try_cast("boolean")
+        return value.try_cast("boolean"), None
+    if isinstance(other, int) and abs(other) < 1 << 63:
+        return value.try_cast("double"), value.try_cast("bigint")
     if isinstance(other, (int, float)):
-        return value.try_cast("double")
+        return value.try_cast("double"), None
     if isinstance(other, str):
-        return value.cast("string")
-    return value
+        return value.cast("string"), None
+    return value, None
+
+
+def _equal(value: Column, other: Any) -> Column:
+    read, whole = _reads(value, other)
+    if whole is None:
+        return read == F.lit(other)
+    return (read == float(other)) & F.coalesce(whole == F.lit(other).cast("bigint"), F.lit(True))
+
+
+def _less(value: Column, other: Any) -> Column:
+    read, whole = _reads(value, other)
+    if whole is None:
+        return read < F.lit(other)
+    return (read < float(other)) | ((read == float(other)) & (whole < F.lit(other).cast("bigint")))
+
+
+def _greater(value: Column, other: Any) -> Column:
+    read, whole = _reads(value, other)
+    if whole is None:
+        return read > F.lit(other)
+    return (read > float(other)) | ((read == float(other)) & (whole > F.lit(other).cast("bigint")))
 
 
 def _compare(name: str, sign: str, other: Any, passes: Predicate) -> Rule:
-    return Rule(
-        name,
-        (other,),
-        lambda v: passes(_like(v, other)),
-        lambda v: F.concat(as_text(v), F.lit(f" {sign} {other}.")),
-    )
+    return Rule(name, (other,), passes, lambda v: F.concat(as_text(v), F.lit(f" {sign} {other}.")))
 
 
 def is_eq(other: Any) -> Rule:
-    return _compare("eq", "!=", other, lambda v: v == F.lit(other))
+    return _compare("eq", "!=", other, lambda v: _equal(v, other))
 
 
 def is_lt(other: Any) -> Rule:
-    return _compare("lt", "!<", other, lambda v: v < F.lit(other))
+    return _compare("lt", "!<", other, lambda v: _less(v, other))
 
 
 def is_gt(other: Any) -> Rule:
-    return _compare("gt", "!>", other, lambda v: v > F.lit(other))
+    return _compare("gt", "!>", other, lambda v: _greater(v, other))
 
 
 def is_lte(other: Any) -> Rule:
-    return _compare("lte", "!<=", other, lambda v: v <= F.lit(other))
+    return _compare("lte", "!<=", other, lambda v: _less(v, other) | _equal(v, other))
 
 
 def is_gte(other: Any) -> Rule:
-    return _compare("gte", "!>=", other, lambda v: v >= F.lit(other))
+    return _compare("gte", "!>=", other, lambda v: _greater(v, other) | _equal(v, other))
 
 
 def is_in(options: Sequence) -> Rule:
@@ -180,7 +210,7 @@ def is_in(options: Sequence) -> Rule:
     return Rule(
         "in",
         options,
-        lambda v: reduce(or_, (_like(v, o).eqNullSafe(F.lit(o)) for o in options), F.lit(False)),
+        lambda v: reduce(or_, (F.coalesce(_equal(v, o), F.lit(False)) for o in options), F.lit(False)),
         lambda v: F.concat(as_text(v), F.lit(f" is not in {list(options)}.")),
     )
 
@@ -195,21 +225,61 @@ def is_int() -> Rule:
     )
 
 
+def each_set(
+    name: str,
+    fails: Callable[[Measures], Column],
+    report: Callable[[Measures], Column],
+    args: Sequence = (),
+) -> SetRule:
+    """Make a set rule of your own from two functions of the measures."""
+    return SetRule(name, tuple(args), fails, report, None, (fails, report))
+
+
 def is_homogenous() -> SetRule:
-    return SetRule("homogenous")
+    def text(m: Measures) -> Column:
+        low = F.coalesce(m("low_text"), as_text(m("low")), as_text(m("low_point")))
+        high = F.coalesce(m("high_text"), as_text(m("high")), as_text(m("high_point")))
+        low, high = F.coalesce(low, F.lit("null")), F.coalesce(high, F.lit("null"))
+        return F.concat(F.lit("values from "), low, F.lit(" to "), high, F.lit(" are not homogenous."))
+
+    def fails(m: Measures) -> Column:
+        return (m("n_values") > 1) & ((m("n_distinct") > 1) | (m("n_nulls") > 0))
+
+    return SetRule("homogenous", (), fails, text)
 
 
 def has_no_missing_values() -> SetRule:
-    return SetRule("not_missing")
+    def fails(m: Measures) -> Column:
+        span = m("high") - m("low") + 1
+        return ~F.coalesce((m("n_values") == span) & (m("n_distinct") == span), F.lit(False))
+
+    return SetRule("not_missing", (), fails, lambda m: F.lit("Missing values: "), "values")
 
 
 def has_uniform_coordinate_count() -> SetRule:
-    return SetRule("uniform_coordinates")
+    return SetRule(
+        "uniform_coordinates",
+        (),
+        lambda m: m("lowest_count") < m("highest_count"),
+        lambda m: F.lit("Non-uniform coordinate count. Missing coordinates: "),
+        "rare",
+    )
 
 
 def has_dense_coordinates() -> SetRule:
-    return SetRule("dense_coordinates")
+    return SetRule(
+        "dense_coordinates",
+        (),
+        lambda m: m("n_distinct") != m("volume"),
+        lambda m: F.lit("Non-dense coordinates. Missing coordinates: "),
+        "points",
+    )
 
 
 def coordinates_begin_at(origin: Sequence[int]) -> SetRule:
-    return SetRule("begin_at", tuple(origin))
+    return SetRule(
+        "begin_at",
+        tuple(origin),
+        lambda m: ~m("low_point").eqNullSafe(F.array(*[F.lit(int(o)) for o in origin])),
+        lambda m: F.lit(f"Coordinates do not begin at {list(origin)}."),
+    )

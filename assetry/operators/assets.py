@@ -42,7 +42,7 @@ class Check:
     @property
     def key(self) -> str:
         rule = self.rule
-        more = (rule.kinds, rule.own) if isinstance(rule, Rule) else ()
+        more = (rule.kinds, rule.own) if isinstance(rule, Rule) else rule.own
         return f"{self.trait}:{rule.name}:{rule.args}:{more}"
 
 
@@ -208,27 +208,49 @@ def row_messages(files: DataFrame, specs: Registry) -> DataFrame:
     )
 
 
-def set_messages(files: DataFrame, specs: Registry) -> DataFrame | None:
-    """asset_path, check, message for the set rules of the registry."""
-    c = Compiled(specs)
-    tables = []
+def _set_streams(c: Compiled) -> tuple[dict, list]:
+    """Streams (condition, value) and set rules (stream, check, rule): traits with the same
+    owners share one."""
+    numbers: dict[tuple, int] = {}
+    streams, rules = {}, []
     for i, check in enumerate(c.checks):
         if isinstance(check.rule, Rule):
             continue
-        owners = [s for s in c.spec_names if i in c.check_bits(s)]
-        rows = files.where(
-            F.col("specification").isin(owners) & trait_value(check.trait).isNotNull()
-        ).select("asset_path", trait_value(check.trait).alias("value"))
-        failed = set_rules.violations(rows, ["asset_path"], "value", check.rule)
-        tables.append(
-            failed.select("asset_path", F.lit(i).alias("check"), "message")
-        )
-    if not tables:
+        owners = tuple(s for s in c.spec_names if i in c.check_bits(s))
+        key = (check.trait, owners)
+        if key not in numbers:
+            numbers[key] = len(numbers)
+            value = trait_value(check.trait)
+            if check.trait == "coordinate":
+                kind = "point"
+            else:
+                kind = "number" if check.trait in (*IMAGE_TRAITS, "version", "frame") else "text"
+            streams[numbers[key]] = (
+                F.col("specification").isin(list(owners)) & value.isNotNull(),
+                set_rules.stream_value(value, kind),
+            )
+        rules.append((numbers[key], i, check.rule))
+    return streams, rules
+
+
+def set_failures(files: DataFrame, specs: Registry) -> tuple[DataFrame, DataFrame, list] | None:
+    """Value counts, failed set rules (asset_path, check, ...) and the rules: one scan of the
+    files and two aggregates, however many rules there are."""
+    streams, rules = _set_streams(Compiled(specs))
+    if not rules:
         return None
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    counts = set_rules.stream_counts(files, ["asset_path"], streams)
+    measured = set_rules.measures(counts, ["asset_path"])
+    return counts, set_rules.failures(measured, ["asset_path"], rules), rules
+
+
+def set_messages(files: DataFrame, specs: Registry) -> DataFrame | None:
+    """asset_path, check, message for the set rules of the registry."""
+    found = set_failures(files, specs)
+    if found is None:
+        return None
+    counts, failed, rules = found
+    return set_rules.messages(counts, failed, ["asset_path"], rules)
 
 
 def _with_findings(bits: DataFrame, c: Compiled) -> DataFrame:
@@ -367,9 +389,10 @@ def broken_assets(files: DataFrame, specs: Registry) -> DataFrame:
     c = Compiled(specs)
     rows = _with_findings(asset_bits(files, specs), c)
     broken = rows.where(_found(c)).select("asset_path", "specification")
-    extra = set_messages(files, specs)
-    if extra is None:
+    found = set_failures(files, specs)
+    if found is None:
         return broken
+    extra = found[1].select("asset_path", "check")
     owners = _owner_table(c)
     more = extra.withColumn("specification", F.explode(F.element_at(owners, F.col("check"))))
     more = more.join(rows, ["asset_path", "specification"], "left_semi")

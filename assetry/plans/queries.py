@@ -22,7 +22,7 @@ from assetry.session import configure
 from assetry.sources import fixtures, listing, metadata, progress, traits
 from assetry.sources.fixtures import ROOT, STAGING
 from assetry.sources.tables import materialized, shared_folder
-from assetry.specs import LISTING_SPECS, Spec, registry, spec_table, trait
+from assetry.specs import LISTING_SPECS, SET_SPECS, Spec, registry, spec_table, trait
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPECS = LISTING_SPECS
@@ -762,6 +762,29 @@ def validate_assets(spark, sf_dir):
     return _asset_errors(spark, sf_dir)
 
 
+@query
+def validate_sets(spark, sf_dir):
+    """As `validate_assets`, by specifications with set rules of all kinds."""
+    return plans.assets_of(_listing(spark, sf_dir).drop("ok", "ln", "pk"), SET_SPECS, ROOT)
+
+
+@query
+def set_summary(spark, sf_dir):
+    return assets.asset_summary(materialized(_rows(spark, sf_dir), "files"), SET_SPECS)
+
+
+@query
+def missing_boxes(spark, sf_dir):
+    """Absent boxes of a grid of lines by parts, for each supplier."""
+    rows = fixtures.table(spark, sf_dir, "lineitem").select(
+        "l_suppkey",
+        (F.col("l_partkey") % 23).cast("int").alias("x"),
+        F.col("l_linenumber").alias("y"),
+        (F.col("l_orderkey") % 5).cast("int").alias("z"),
+    )
+    return set_rules.missing_boxes(rows, ["l_suppkey"])
+
+
 @query
 def update(spark, sf_dir):
     table = _catalog(spark, sf_dir)

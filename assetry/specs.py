@@ -9,7 +9,7 @@ registry of any usual size adds no join to a job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,3 +244,31 @@ SMALL_SPEC002 = Spec(
 )
 SMALL_SPECS = registry([SMALL_SPEC001, SMALL_SPEC002])
 LISTING_SPECS = registry([SMALL_SPEC001, SMALL_SPEC002, VDB001])
+
+# The same with set rules of all kinds.
+SET_SPECS = registry(
+    [
+        replace(
+            SMALL_SPEC001,
+            traits=_small_image_traits(
+                "png",
+                coordinate=trait(
+                    R.has_uniform_coordinate_count(),
+                    R.has_dense_coordinates(),
+                    R.coordinates_begin_at([0, 0]),
+                    required=True,
+                ),
+                descriptor=trait(R.is_descriptor(), R.is_homogenous()),
+            ),
+        ),
+        replace(
+            SMALL_SPEC002,
+            traits={
+                **_small_image_traits("jpg", descriptor=trait(R.is_descriptor(), R.is_homogenous())),
+                "frame": trait(R.has_no_missing_values(), required=True),
+                "width": trait(R.is_eq(4), R.is_homogenous(), required=True),
+            },
+        ),
+        VDB001,
+    ]
+)

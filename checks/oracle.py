@@ -586,6 +586,90 @@ ORACLE["graph_edges"] = f"""{_NODES}
 
 
 
+_SETS = f"""
+coordinates AS (
+    SELECT asset_path, cx, cy, count(*) AS n FROM rows
+    WHERE specification = 'spec001' AND cx IS NOT NULL GROUP BY asset_path, cx, cy),
+box AS (
+    SELECT asset_path, min(cx) AS x0, max(cx) AS x1, min(cy) AS y0, max(cy) AS y1, max(n) AS top,
+           min(n) AS bottom, min([cx, cy]) AS low
+    FROM coordinates GROUP BY asset_path),
+rare AS (
+    SELECT asset_path, list([cx, cy] ORDER BY cx, cy) AS points
+    FROM coordinates JOIN box USING (asset_path) WHERE n < top GROUP BY asset_path),
+whole AS (
+    SELECT asset_path, x, unnest(range(y0, y1 + 1)) AS y
+    FROM (SELECT asset_path, unnest(range(x0, x1 + 1)) AS x, y0, y1 FROM box)),
+holes AS (
+    SELECT asset_path, list([x, y] ORDER BY x, y) AS points FROM (
+        SELECT asset_path, x, y FROM whole EXCEPT SELECT asset_path, cx, cy FROM coordinates)
+    GROUP BY asset_path),
+frames AS (
+    SELECT asset_path, count(*) AS n, count(DISTINCT frame) AS d, min(frame) AS low, max(frame) AS high,
+           list_sort(list_distinct(list(frame))) AS seen
+    FROM rows WHERE specification = 'spec002' AND frame IS NOT NULL GROUP BY asset_path),
+gaps AS (
+    SELECT asset_path, seen[i] + 1 AS first, seen[i + 1] - 1 AS last
+    FROM (SELECT asset_path, seen, unnest(range(1, len(seen))) AS i FROM frames WHERE n <> high - low + 1 OR d <> n)
+    WHERE seen[i + 1] > seen[i] + 1),
+named_frames AS (
+    SELECT asset_path, CASE WHEN sum(last - first + 1) <= 100
+        THEN CAST(flatten(list(range(first, last + 1) ORDER BY first)) AS VARCHAR)
+        ELSE '[' || string_agg(CASE WHEN first = last THEN CAST(first AS VARCHAR) ELSE first || '..' || last END, ', '
+                               ORDER BY first) || ']' END AS names
+    FROM gaps GROUP BY asset_path),
+same AS (
+    SELECT asset_path,
+           CASE WHEN count(DISTINCT descriptor) > 1 THEN 'descriptor: values from ' || min(descriptor) || ' to '
+                || max(descriptor) || ' are not homogenous.' END AS descriptors,
+           CASE WHEN specification = 'spec002' AND count(DISTINCT trait_width) > 1
+                THEN 'width: values from ' || min(trait_width) || ' to ' || max(trait_width)
+                || ' are not homogenous.' END AS widths
+    FROM rows WHERE specification IN ('spec001', 'spec002') GROUP BY asset_path, specification),
+set_assets AS (
+    SELECT a.asset_path, specification, n_files, n_file_errors, list_sort(list_concat(texts, list_filter([
+        descriptors, widths,
+        CASE WHEN top <> bottom THEN 'coordinate: Non-uniform coordinate count. Missing coordinates: '
+             || CAST(r.points AS VARCHAR) || '.' END,
+        CASE WHEN h.points IS NOT NULL THEN 'coordinate: Non-dense coordinates. Missing coordinates: '
+             || CAST(h.points AS VARCHAR) || '.' END,
+        CASE WHEN box.low <> [0, 0] THEN 'coordinate: Coordinates do not begin at [0, 0].' END,
+        CASE WHEN f.n <> f.high - f.low + 1 OR f.d <> f.n
+             THEN 'frame: Missing values: ' || coalesce(names, '[]') || '.' END
+        ], lambda x: x IS NOT NULL))) AS texts
+    FROM problems a LEFT JOIN same USING (asset_path) LEFT JOIN box USING (asset_path)
+    LEFT JOIN rare r USING (asset_path) LEFT JOIN holes h USING (asset_path)
+    LEFT JOIN frames f USING (asset_path) LEFT JOIN named_frames USING (asset_path))"""
+ORACLE["validate_sets"] = f"""{CATALOG}, {_SETS} SELECT asset_path, specification, n_files, n_file_errors,
+    CASE WHEN len(texts) > 0 THEN 'DataError( ' || array_to_string(texts, ' ') || ' )' END AS asset_error
+    FROM set_assets"""
+ORACLE["set_summary"] = f"""{CATALOG}, {_SETS} SELECT specification, count(*) AS n_assets,
+    count(*) FILTER (WHERE len(texts) = 0 AND n_file_errors = 0) AS n_valid_assets,
+    CAST(sum(n_files) AS BIGINT) AS n_files,
+    CAST(sum(CASE WHEN len(texts) = 0 THEN n_files - n_file_errors ELSE 0 END) AS BIGINT) AS n_valid_files
+    FROM set_assets GROUP BY specification"""
+_GRID = """SELECT DISTINCT l_suppkey, l_partkey % 23 AS x, CAST(l_linenumber AS BIGINT) AS y, l_orderkey % 5 AS z FROM lineitem"""
+
+
+def _gaps(line: str, axis: str, ends: str) -> str:
+    """Stretches of an axis that no point of a line has, within the group's box."""
+    columns = line.replace(" ", "").split(",")
+    return f"""SELECT {ends} FROM (
+        SELECT *, lead(v) OVER (PARTITION BY {line} ORDER BY v) AS w FROM (
+            SELECT DISTINCT {line}, {axis} AS v FROM grid
+            UNION SELECT DISTINCT p.{", p.".join(columns)}, b.{axis}0 - 1 FROM grid p JOIN box b USING (l_suppkey)
+            UNION SELECT DISTINCT p.{", p.".join(columns)}, b.{axis}1 + 1 FROM grid p JOIN box b USING (l_suppkey)))
+        JOIN box USING (l_suppkey) WHERE w > v + 1"""
+
+
+ORACLE["missing_boxes"] = f"""WITH grid AS ({_GRID}), box AS (
+        SELECT l_suppkey, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1
+        FROM grid GROUP BY l_suppkey)
+    {_gaps("l_suppkey", "x", "l_suppkey, v + 1 AS x0, w - 1 AS x1, y0, y1, z0, z1")}
+    UNION ALL {_gaps("l_suppkey, x", "y", "l_suppkey, x, x, v + 1, w - 1, z0, z1")}
+    UNION ALL {_gaps("l_suppkey, x, y", "z", "l_suppkey, x, x, y, y, v + 1, w - 1")}"""
+
+
 def _state(kept: str, width: str) -> str:
     """The catalog of a listing that is not the whole one."""
     return CATALOG.replace(

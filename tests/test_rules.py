@@ -59,7 +59,8 @@ def test_homogenous(spark):
 
 def test_not_missing_values(spark):
     groups = {1: [0, 1, 2], 2: [0, 1, 4], 3: [0, 1, 1], 4: [7]}
-    assert set(_failing(spark, groups, "int", R.has_no_missing_values())) == {2, 3}
+    texts = _failing(spark, groups, "int", R.has_no_missing_values())
+    assert texts == {2: "Missing values: [2, 3].", 3: "Missing values: []."}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v int")
     rows = set_rules.missing_values(df, ["g"], "v").collect()
     assert sorted((r.g, r.v) for r in rows) == [(2, 2), (2, 3)]
@@ -78,9 +79,9 @@ def test_coordinate_rules(spark):
         5: shifted,
     }
     uniform = _failing(spark, groups, "array<int>", R.has_uniform_coordinate_count())
-    assert set(uniform) == {2}
+    assert uniform == {2: "Non-uniform coordinate count. Missing coordinates: [[2, 2]]."}
     dense = _failing(spark, groups, "array<int>", R.has_dense_coordinates())
-    assert set(dense) == {3} and "Missing coordinates: 1" in dense[3]
+    assert dense == {3: "Non-dense coordinates. Missing coordinates: [[2, 0]]."}
     begin = _failing(spark, groups, "array<int>", R.coordinates_begin_at([1, 2]))
     assert set(begin) == {1, 2, 3, 5}
 
@@ -134,3 +135,81 @@ def test_wide_gaps(spark):
     runs = set_rules.missing_runs(df, ["k"], "v").collect()
     assert sorted((r.first, r.last) for r in runs) == [(-1, 4), (6, 2147483646)]
     assert set_rules.not_missing_report(df, ["k"], "v").first().valid is False
+
+
+def test_two_far_corners_are_a_handful_of_boxes(spark):
+    df = spark.createDataFrame([(1, [0, 0, 0]), (1, [9999, 9999, 9999]), (2, [0, 5]), (2, [3, 5]), (3, [4])], POINTS)
+    points = df.select("g", *[set_rules.axis(F.col("c"), i).alias(a) for i, a in enumerate("xyz")])
+    boxes = set_rules.missing_boxes(points, ["g"]).collect()
+    whole, flat = [b for b in boxes if b.g == 1], [tuple(b) for b in boxes if b.g == 2]
+    assert len(whole) == 5 and flat == [(2, 1, 2, 5, 5, None, None)] and len(boxes) == 6
+    assert sum((b.x1 - b.x0 + 1) * (b.y1 - b.y0 + 1) * (b.z1 - b.z0 + 1) for b in whole) == 10**12 - 2
+    text = _failing(spark, {1: [[0, 0, 0], [9999, 9999, 9999]]}, "array<int>", R.has_dense_coordinates())[1]
+    assert text == (
+        "Non-dense coordinates. Missing coordinates: [[0, 0, 1..9999], [0, 1..9999, 0..9999], "
+        "[1..9998, 0..9999, 0..9999], [9999, 0..9998, 0..9999], [9999, 9999, 0..9998]]."
+    )
+
+
+def test_many_missing_values_are_ranges(spark):
+    text = _failing(spark, {1: [0, 3, 1000], 2: list(range(0, 1000, 2))}, "int", R.has_no_missing_values())
+    assert text[1] == "Missing values: [1..2, 4..999]."
+    assert text[2].startswith("Missing values: [1, 3, 5,") and text[2].endswith(", 199, ...].")
+
+
+def test_a_set_rule_of_ones_own(spark):
+    rule = R.each_set(
+        "few", lambda m: m("n_distinct") > 2, lambda m: F.format_string("%d values, up to %d.", m("n_distinct"), m("high"))
+    )
+    assert _failing(spark, {1: [1, 2], 2: [1, 2, 2, 9]}, "int", rule) == {2: "3 values, up to 9."}
+    assert rule != R.each_set("few", lambda m: m("n_distinct") > 3, lambda m: F.lit(""))
+
+
+def test_whole_numbers_are_compared_exactly(spark):
+    big = 1 << 53
+    df = spark.createDataFrame([(big,), (big + 1,), (big - 1,), (None,)], "v long")
+    cases = {
+        R.is_eq(big + 1): [True, False, True, False], R.is_gt(big): [True, False, True, False],
+        R.is_lt(big + 1): [False, True, False, False], R.is_lte(big): [False, True, False, False],
+        R.is_gte(big + 1): [True, False, True, False], R.is_in([big + 1, 7]): [True, False, True, False],
+    }
+    for rule, want in cases.items():
+        assert [r[0] for r in df.select(rule.fails(F.col("v"))).collect()] == want
+        texts = df.select(rule.fails(F.col("v").cast("string"))).collect()
+        assert [r[0] for r in texts] == want
+    parts = spark.createDataFrame([(4.5,), (4.0,), (float("nan"),)], "v double")
+    assert [r[0] for r in parts.select(R.is_gt(4).fails(F.col("v"))).collect()] == [False, True, False]
+    assert [r[0] for r in parts.select(R.is_eq(4).fails(F.col("v"))).collect()] == [True, False, True]
+    assert [r[0] for r in parts.select(R.is_lte(4).fails(F.col("v"))).collect()] == [True, False, True]
+
+
+def test_twenty_set_rules_are_two_aggregates(spark, tmp_path):
+    from assetry.operators import assets
+    from assetry.specs import Spec, registry, trait
+
+    own = [R.each_set(f"rule{i}", lambda m, i=i: m("n_distinct") > i, lambda m: F.lit("many.")) for i in range(16)]
+    specs = registry(
+        [
+            Spec("spec001", traits={"width": trait(*own, R.is_homogenous()), "frame": trait(R.has_no_missing_values())}),
+            Spec("spec002", traits={"coordinate": trait(R.has_dense_coordinates(), R.has_uniform_coordinate_count()),
+                                    "width": trait(*own[:5], R.is_homogenous())}),
+        ]
+    )
+    rows = spark.createDataFrame(
+        [("a", "spec001", 1, 1), ("a", "spec001", 2, 3), ("b", "spec002", 1, 1)],
+        "asset_path string, specification string, width int, frame int",
+    ).selectExpr(
+        "asset_path", "specification",
+        "struct(width, frame, array(frame, width) AS coordinate) AS file_traits",
+    )
+    rows.write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    _, failed, rules = assets.set_failures(files, specs)
+    plan = failed._jdf.queryExecution().executedPlan().toString()
+    assert len(rules) == 20 and plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+    got = {(r.asset_path, r.check) for r in failed.collect()}
+    names = [(c.trait, c.rule.name) for c in assets.Compiled(specs).checks]
+    assert {(a, *names[i]) for a, i in got} == {
+        ("a", "frame", "not_missing"), ("a", "width", "homogenous"), ("a", "width", "rule0"), ("a", "width", "rule1"),
+        ("b", "width", "rule0"),
+    }
