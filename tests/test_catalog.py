@@ -175,7 +175,7 @@ def test_set_rules_of_a_specification(spark):
     for r in got:
         full = "full" in r.filename
         assert r.asset_valid is full
-        assert full or "frame: Missing values: 2 of 1..4" in r.asset_error
+        assert full or "frame: Missing values: [2, 3]." in r.asset_error
     light = assets.add_asset_valid(files.file_rows(table, specs, "/in"), specs).collect()
     assert {(r.filename, r.asset_valid) for r in light} == {(r.filename, r.asset_valid) for r in got}
     [s] = assets.asset_summary(files.file_rows(table, specs, "/in"), specs).collect()
