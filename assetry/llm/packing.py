@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from assetry.llm.common import map_batches
-from assetry.llm.tokens import WordEncoder, tokenizer_path
+from assetry.llm.tokens import tokenizer_path, word_encoder
 
 LONGEST = 2048
 END_OF_DOCUMENT = 1
@@ -54,7 +54,7 @@ def pack(
     def make():
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path, whole_texts)
+        encoder = word_encoder(path, whole_texts)
         made = TaskContext.get().partitionId() << _TASK_SHIFT
 
         def turn(batch):

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import os
 from array import array
-from itertools import chain, filterfalse
-
-import numpy as np
+from functools import lru_cache
 
 WORD_BPE = "word_bpe_49k.json"
-_GROUP = 50  # new words that are encoded as one text
 # What may follow a word of letters as a pre-token of its own (not the apostrophe,
 # which can begin one with letters).
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -21,9 +18,31 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
+def _byte_letters() -> dict[int, int]:
+    """Byte to the letter that stands for it in a byte-level vocabulary: printable bytes stand for
+    themselves, the others for the letters from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(0x100) if b not in shown]
+    return dict(zip(shown, shown)) | {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _is_latin(text: str) -> bool:
+    """No letter beyond U+00FF: each has one lower-case form of the same kind."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class WordEncoder(dict):
     """Ids of whole texts as `Tokenizer.encode(text, add_special_tokens=False)`
-    gives them, as little-endian unsigned 32-bit integers.
+    gives them, as little-endian unsigned 32-bit integers; itself the ids of chunks.
 
     The tokenizer is one that drops white space: its normalizer, its
     pre-tokenizer and its special tokens never join what stands on both sides of
@@ -36,6 +55,7 @@ class WordEncoder:
     LIMIT = 1_000_000
 
     def __init__(self, path: str, whole: bool = False):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,77 +63,53 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.whole = whole
-        ids = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(ids.values()) + 1, dtype=bool)  # ends a word
-        self.last[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model.tokenize
         # matched as written, before the normalizer lower-cases
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content.lower() for t in added if not t.normalized]
-        self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
         """Ids by the library alone."""
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         if self.whole:
             return [self.encode(t or "") for t in texts]
-        chunked = [self._chunks(t) for t in texts]
-        if len(self.known) > self.LIMIT:
-            self.known = {"": b""}
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(chunked)))
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunked]
+        if len(self) > self.LIMIT:
+            self.clear()
+        return [b"".join(map(self.__getitem__, self._chunks(t))) for t in texts]
 
     def _chunks(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if text.isascii():  # the normalizer lower-cases
+        if _is_latin(text):  # the normalizer lower-cases, letter by letter
             low = text.lower()
             # in other case a special token is no token, and must not become one
             if not any(s in low for s in self.special):
                 text = low
         return text.replace("\n", " ").split(" ")
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode new chunks: a word with marks after it as word and marks, words
-        of letters many at a time."""
-        stems = {c: c.rstrip(_MARKS) for c in chunks}
-        words, rest = set(), set()
-        for chunk, stem in stems.items():
-            if len(stem) < len(chunk) and not stem.isalpha():
-                stems[chunk] = stem = chunk
-            (words if stem.isalpha() else rest).add(stem)
-            if len(stem) < len(chunk):
-                rest.add(chunk[len(stem) :])
-        for chunk in rest.difference(self.known):
-            self.known[chunk] = self.encode(chunk)
-        new = words.difference(self.known)
-        # an ASCII letter is its own byte-level letter: such a word needs the model only
-        model, plain = self.tokenizer.model.tokenize, [w for w in new if w.isascii()]
-        for word in plain:
-            self.known[word] = self._bytes([t.id for t in model(word.lower())])
-        new = list(new.difference(plain))
-        groups = [new[i : i + _GROUP] for i in range(0, len(new), _GROUP)]
-        joined = self.tokenizer.encode_batch_fast(
-            [" ".join(g) for g in groups], add_special_tokens=False
-        )
-        for group, encoding in zip(groups, joined):
-            ids = np.array(encoding.ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group):  # each word has one end at least
-                data, at = ids.tobytes(), 0
-                for word, end in zip(group, (ends * 4).tolist()):
-                    self.known[word] = data[at:end]
-                    at = end
+    def __missing__(self, chunk: str) -> bytes:
+        """Encode a new chunk: a word with marks after it as word and marks; a word of letters up
+        to U+00FF, of which the normalizer changes the case only and which the pre-tokenizer
+        leaves whole, by the model alone."""
+        if chunk.isalpha() and _is_latin(chunk):
+            low = chunk.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(_LETTERS)
+            ids = array("I", [t.id for t in self.model(low)]).tobytes()
+        else:
+            stem = chunk.rstrip(_MARKS)
+            if len(stem) < len(chunk) and stem.isalpha():
+                ids = self[stem] + self[chunk[len(stem) :]]
             else:
-                self.known.update((w, self.encode(w)) for w in group)
-        for chunk, stem in stems.items():
-            if len(stem) < len(chunk):
-                self.known[chunk] = self.known[stem] + self.known[chunk[len(stem) :]]
+                ids = self.encode(chunk) if chunk else b""
+        self[chunk] = ids
+        return ids
+
+
+@lru_cache(1)
+def word_encoder(path: str, whole: bool = False) -> WordEncoder:
+    """The encoder of this Python process: what one task has learned serves the next."""
+    return WordEncoder(path, whole)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetry.llm.common import arrow_schema, batch_of, give_back, new_folder, open_store, row_key, saved, slices
-from assetry.llm.tokens import WordEncoder, tokenizer_path
+from assetry.llm.tokens import tokenizer_path, word_encoder
 
 END_OF_DOCUMENT = 2
 SHARD_TOKENS = 1 << 22  # a shard is closed after the document that reaches this
@@ -46,9 +46,12 @@ def build(ids: np.ndarray) -> list[np.ndarray]:
     row = ids.astype(np.uint16 if n_planes <= 16 else np.uint32)
     planes = []
     for bit in range(n_planes - 1, -1, -1):
-        ones = (row & row.dtype.type(1 << bit)) != 0
+        ones = (row & row.dtype.type(1 << bit)).astype(bool)
         planes.append(np.packbits(ones, bitorder="little"))
-        row = np.concatenate((row[~ones], row[ones]))
+        above = np.compress(ones, row)
+        np.compress(~ones, row, out=(following := np.empty_like(row))[: len(row) - len(above)])
+        following[len(row) - len(above) :] = above
+        row = following
     return planes
 
 
@@ -211,7 +214,7 @@ def write(
 
         give_back()
         task, shard = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(path, whole_texts)
+        encoder = word_encoder(path, whole_texts)
         doc_ids, rows, size = [], [], 0
 
         def close():
