@@ -310,6 +310,26 @@ def export_items(catalog: DataFrame) -> DataFrame:
     )
 
 
+def folder_objects(catalog: DataFrame, staging: str) -> DataFrame:
+    """Objects (object_key, source or value) of a published tree of folders and items."""
+    none = F.lit(None).cast("string")
+    folders = export_folders(catalog)
+    described = folders.select(
+        F.concat(F.substring("folder", 2, 1 << 20), F.lit("/.folder.json")).alias("object_key"),
+        none.alias("source"),
+        F.to_json(F.struct(*folders.columns)).alias("value"),
+    )
+    items = export_items(catalog)
+    place = F.substring(F.concat("parent_folder", F.lit("/"), "name"), 2, 1 << 20)
+    contents = items.select(place.alias("object_key"), _content(place, staging).alias("source"), none.alias("value"))
+    told = items.select(
+        F.concat(place, F.lit(".item.json")).alias("object_key"),
+        none.alias("source"),
+        F.to_json(F.struct(*items.columns)).alias("value"),
+    )
+    return described.unionByName(contents).unionByName(told)
+
+
 def directories(listing: DataFrame, column: str = "filepath") -> DataFrame:
     """Every directory above a listed path, once.
 

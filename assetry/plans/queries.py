@@ -16,10 +16,11 @@ from assetry.functions import naming, paths
 from assetry.functions import rules as R
 from assetry.operators import assets, files, graph, grouping, publish, set_rules
 from assetry.plans import catalog as plans
+from assetry.plans import workflow
 from assetry.plans.searches import CTE_SEARCH, GROUP_CONCAT_SEARCH, SEARCHES, SPARK_LIST
 from assetry.plans.store import Store
 from assetry.session import configure
-from assetry.sources import fixtures, listing, metadata, progress, traits
+from assetry.sources import fixtures, listing, metadata, objects, progress, staging, traits
 from assetry.sources.fixtures import ROOT, STAGING
 from assetry.sources.tables import materialized, shared_folder
 from assetry.specs import LISTING_SPECS, SET_SPECS, Spec, registry, spec_table, trait
@@ -224,6 +225,87 @@ def progress_message(spark, sf_dir):
     return _log(spark, sf_dir).select("event_id", "progress", "message")
 
 
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of files made of `part`: name and value."""
+    return fixtures.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("m"), F.col("p_partkey") % 7, F.lit("/part"), "p_partkey", F.lit(".txt")).alias("name"),
+        F.concat("p_name", F.lit("\n"), "p_brand").alias("value"),
+    )
+
+
+def _written(spark: SparkSession, texts: DataFrame, folder: str) -> DataFrame:
+    """Write texts below a folder; their targets, with name."""
+    target = F.concat(F.lit(f"{folder}/"), "name")
+    staging.write_documents(texts.withColumn("target", target)).write.format("noop").mode("overwrite").save()
+    return texts.select("name", target.alias("source"))
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+@query
+def stage_content(spark, sf_dir):
+    """Files made of `part`, copied in two runs with one ledger."""
+    folder = _fresh(spark, "files")
+    sources = _written(spark, _part_files(spark, sf_dir), f"{folder}/in")
+    plan = sources.select("source", F.concat(F.lit(f"{folder}/out/"), "name").alias("target"))
+    objects.recorded(plan.where("target LIKE '%/m3/%'"), f"{folder}/ledger")
+    done = objects.recorded(plan, f"{folder}/ledger")
+    return done.withColumn("target", paths.relative_path(F.col("target"), f"{folder}/out"))
+
+
+@query
+def export_objects(spark, sf_dir):
+    """Files made of `part`, published under their keys, and read from there."""
+    folder = _fresh(spark, "objects")
+    sources = _written(spark, _part_files(spark, sf_dir), f"{folder}/in")
+    objects.export_objects(sources.withColumnRenamed("name", "object_key"), f"{folder}/out")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = found.option("pathGlobFilter", "part*").load(f"{folder}/out")
+    key = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    return found.select(key.alias("object_key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def read_metadata(spark, sf_dir):
+    """JSON documents made of `part`, one file each, as rows."""
+    folder = _fresh(spark, "documents")
+    value = F.to_json(F.struct("p_partkey", "p_name", F.struct("p_brand", "p_size").alias("more")))
+    docs = fixtures.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("d"), F.col("p_partkey") % 7, F.lit("/"), "p_partkey", F.lit(".json")).alias("name"),
+        F.concat(F.lit("/* a part */ "), value).alias("value"),
+    )
+    _written(spark, docs, folder)
+    schema = "p_partkey bigint, p_name string, more struct<p_brand: string, p_size: int>"
+    read = metadata.read_json(spark, f"{folder}/*", schema)
+    return read.select("p_partkey", "p_name", "more.p_brand", "more.p_size")
+
+
+@query
+def export_disk(spark, sf_dir):
+    """The workflow from a tree of files made of `part` to an export: names that do not parse stay
+    out, and so do wrong extensions."""
+    folder = _fresh(spark, "workflow")
+    part = F.col("p_partkey")
+    name = F.concat(
+        F.lit("p-proj"), naming.padded(part % 25 + 1, 3), F.lit("_s-vdb001_d-part"), part,
+        F.when(part % 9 == 4, F.lit("_x")).otherwise(F.lit("_v")), naming.padded(part % 999 + 1, 3),
+        F.when(part % 10 == 3, F.lit(".abc")).otherwise(F.lit(".vdb")),
+    )
+    texts = fixtures.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("m"), part % 7, F.lit("/"), name).alias("name"), F.col("p_name").alias("value")
+    )
+    _written(spark, texts, f"{folder}/in")
+    project = workflow.Project(
+        spark, f"{folder}/in", f"{folder}/staging", SPECS, exporters=[workflow.disk_exporter(f"{folder}/out")]
+    )
+    workflow.workflow(project, ["delete", "update", "create", "export"])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/out/content")
+    place = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    return found.select(place.alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
 # --- projections, filters, predicates ---------------------------------------
 
 

@@ -692,6 +692,17 @@ ORACLE["catalog_changes"] = f"""SELECT coalesce(a.filepath, b.filepath) AS filep
     WHERE a.filepath IS NULL OR b.filepath IS NULL OR a.asset_error IS DISTINCT FROM b.asset_error
        OR a.asset_valid <> b.asset_valid OR a.file_traits IS DISTINCT FROM b.file_traits"""
 
+_FILES_OF_PART = """SELECT 'm' || p_partkey % 7 || '/part' || p_partkey || '.txt' AS name,
+    p_name || chr(10) || p_brand AS value FROM part"""
+ORACLE["stage_content"] = f"""SELECT name AS target, CAST(strlen(value) AS BIGINT) AS bytes, sha256(value) AS sha256,
+    'copied' AS status FROM ({_FILES_OF_PART})"""
+ORACLE["export_objects"] = f"""SELECT name AS object_key, CAST(strlen(value) AS BIGINT) AS bytes,
+    sha256(value) AS sha256 FROM ({_FILES_OF_PART})"""
+ORACLE["read_metadata"] = "SELECT p_partkey, p_name, p_brand, p_size FROM part"
+ORACLE["export_disk"] = """SELECT 'm' || p_partkey % 7 || '/p-proj' || lpad(CAST(p_partkey % 25 + 1 AS VARCHAR), 3, '0')
+    || '_s-vdb001_d-part' || p_partkey || '_v' || lpad(CAST(p_partkey % 999 + 1 AS VARCHAR), 3, '0') || '.vdb' AS name,
+    sha256(p_name) AS sha256 FROM part WHERE p_partkey % 9 <> 4 AND p_partkey % 10 <> 3"""
+
 for _name, _sql in SEARCHES.items():
     ORACLE[_name] = f"{DATA} {_sql}"
 ORACLE["search_running_count"] = ORACLE["search_running_count"].replace(
