@@ -40,7 +40,8 @@ RULES = (
     Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines AND n_dup_lines >= 2"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 25 * n_words"),
-    Rule("few_distinct_words", "4 * n_distinct_words < n_words AND n_words < 1000"),
+    # under a quarter of a short text, and of a long one a share that falls with its length
+    Rule("few_distinct_words", "n_distinct_words * (1000 + n_words) < 250 * n_words"),
 )
 BASE = ("few_words", "repeated_words")
 POLICIES = {
@@ -174,6 +175,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words
     OR 100 * n_dup_lines > 30 * n_lines AND n_dup_lines >= 2
     OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-    OR 4 * n_distinct_words < n_words AND n_words < 1000) AS kept
+    OR n_distinct_words * (1000 + n_words) < 250 * n_words) AS kept
 FROM b
 """
