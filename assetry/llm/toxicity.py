@@ -45,7 +45,6 @@ _NEGATED, _REPORTED, _TARGETED = 1, 2, 4
 _FAMILY = {INSULT: 0, THREAT: 8, DOUBTFUL: 16}
 KINDS = 24
 
-MAX_ENTRIES = 5_000  # learned words and stems that are broadcast, at most
 STEM_LENGTHS = (4, 5, 6)
 STEM_WORDS = 5  # words a stem must be seen with
 LEAST_SHARE, SURE_SHARE = 0.5, 0.9  # toxic clauses among those with an entry
@@ -270,7 +269,6 @@ def lexicon(sample: DataFrame) -> dict[str, list[tuple[str, int]]]:
             .withColumn("evidence", 2 * (part(a, share) + part(b, 1 - share)))
             .where((F.col("evidence") >= EVIDENCE) & (a >= LEAST_SHARE * (a + b)))
             .orderBy(F.desc("evidence"), "word")
-            .limit(MAX_ENTRIES)
             .select("word", (a >= SURE_SHARE * (a + b + 1)).alias("sure"))
         )
         return [(r.word, INSULT if r.sure else DOUBTFUL) for r in found.collect()]
@@ -291,7 +289,7 @@ def lexicon(sample: DataFrame) -> dict[str, list[tuple[str, int]]]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Model from labelled rows that are not held out: insult words and stems, and the
-    weight of each kind.  At most `rows` rows, and MAX_ENTRIES words and stems each."""
+    weight of each kind.  They come from `rows` rows at most, whose words bound the entries."""
     sample = saved(training_sample(docs, labels, "toxic", rows), "toxic-sample")
     entries = lexicon(sample)
 
