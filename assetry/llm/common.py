@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,14 @@ def row_key(*names: str):
     return F.xxhash64(*names)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that is not taken, whatever the case of its letters."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of a text in UTF-8, none for null: `bytes.split()`
     splits at \\x20 and \\x09-\\x0D only."""

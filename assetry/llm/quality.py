@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetry.llm.common import map_batches, saved
+from assetry.llm.common import fresh, map_batches, saved
 from assetry.llm.fitting import TRAIN_ROWS, fit_logistic, sigmoid, training_sample
 
 SITE_WEIGHT = 0.3  # weight of the path's log-odds beside the document's own
@@ -149,6 +149,7 @@ def score(
     path: str = "lang",
     rows: int = TRAIN_ROWS,
     site_weight: float = SITE_WEIGHT,
+    keep_text: bool = True,
 ) -> DataFrame:
     """All columns of `docs` (doc_id, text, and the columns named as host and path)
     with quality_evidence, host_mean, path_mean, quality_score and quality_kept.
@@ -157,7 +158,8 @@ def score(
     none, every document is taken for good.  Null hosts and paths are a host and a
     path of their own.  Null and empty texts measure zero.  Rows are scored each for
     itself, whatever their ids; other columns pass, but for those of the result's
-    names, which are replaced.  An empty table gives none.
+    names, which are replaced.  An empty table gives none.  The measured table is saved
+    once, with the texts unless `keep_text` is false.
     """
     weights = fit(docs, labels, rows)
     named = ("quality_evidence", "host_mean", "path_mean", "quality_score", "quality_kept")
@@ -170,22 +172,28 @@ def score(
             F.struct(F.col(path).cast("string").alias("v")).alias("path"),
         )
 
-    measured = with_evidence(docs.select(host, path, "text"), weights)
+    # measured once; what follows reads the saved table
+    measured = saved(
+        with_evidence(docs, weights).drop(*([] if keep_text else ["text"])), "evidence"
+    )
+    site, mean = fresh("site", measured.columns), fresh("mean", measured.columns)
     table = posteriors(keys(measured, "quality_evidence"))
     # the key is one binary-comparable text, null told from empty
-    table = table.withColumn("_site", F.to_json(F.struct("host", "path"))).drop("host", "path")
+    table = table.select(
+        F.to_json(F.struct("host", "path")).alias(site), "host_mean", "path_mean", F.col("mean").alias(mean)
+    )
     key = F.to_json(
         F.struct(
             F.struct(F.col(host).cast("string").alias("v")).alias("host"),
             F.struct(F.col(path).cast("string").alias("v")).alias("path"),
         )
     )
-    scored = with_evidence(docs, weights).withColumn("_site", key).join(saved(table, "posteriors"), "_site", "left")
+    scored = measured.withColumn(site, key).join(saved(table, "posteriors"), site, "left")
     odds = _log_odds(F.col("quality_evidence")) + site_weight * (
-        _log_odds(F.col("path_mean")) - _log_odds(F.col("mean"))
+        _log_odds(F.col("path_mean")) - _log_odds(F.col(mean))
     )
     return (
         scored.withColumn("quality_score", 1 / (1 + F.exp(-odds)))
         .withColumn("quality_kept", F.col("quality_score") >= KEEP)
-        .drop("_site", "mean")
+        .drop(site, mean)
     )

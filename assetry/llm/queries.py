@@ -78,7 +78,7 @@ def op8_rules(spark, sf_dir):
 
 def op9_quality(spark, sf_dir):
     """`source` stands for the host and `lang` for its path: documents have neither."""
-    scored = quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
+    scored = quality.score(documents(spark, sf_dir), labels(spark, sf_dir), keep_text=False)
     return scored.select(
         "doc_id",
         F.col("quality_evidence").alias("evidence"),
