@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetry.llm.common import WordHashes, give_back, map_batches, mixed, saved, tidy, window_hashes
+from assetry.llm.common import WordHashes, arrow_schema, give_back, map_batches, mixed, saved, tidy, window_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -164,7 +164,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _shingles_of(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of each class, read from one of its rows."""
+    """(node, shingles) of each class, one row each, read from one of its rows."""
 
     def make():
         hashes = WordHashes()
@@ -175,12 +175,32 @@ def _shingles_of(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame
 
         return turn
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k1"), "text")
-    return map_batches(
-        keyed.join(classes.select("head.k1", "node"), "k1").select("node", "text"),
-        make,
-        "node long, shingles binary",
-    )
+    keyed = _first_in_task(docs.select(F.xxhash64("doc_id", "text").alias("k1"), "text"))
+    # a repeated row is one row of each task here, and one row of its class after this
+    heads = keyed.join(classes.select("head.k1", "node"), "k1")
+    one = heads.groupBy("k1", "node").agg(F.first("text").alias("text"))
+    return map_batches(one.select("node", "text"), make, "node long, shingles binary")
+
+
+def _first_in_task(keyed: DataFrame) -> DataFrame:
+    """(k1, text) of the rows whose key is new in their task."""
+    schema = arrow_schema("k1 long, text string")
+
+    def run(batches):
+        give_back()
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column("k1").to_pylist()
+            keep = []
+            for k in keys:
+                keep.append(k not in seen)
+                seen.add(k)
+            if all(keep):
+                yield batch.select(["k1", "text"]).cast(schema)
+            else:
+                yield batch.select(["k1", "text"]).filter(pa.array(keep)).cast(schema)
+
+    return keyed.mapInArrow(run, "k1 long, text string")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
