@@ -36,6 +36,7 @@ from assetry.llm.common import (
     arrow_schema,
     batch_of,
     byte_words,
+    fresh,
     give_back,
     joined_hash,
     map_batches,
@@ -106,8 +107,13 @@ def _split(part: np.ndarray, n_parts: int):
         yield int(p), order[ends[p] : ends[p + 1]]
 
 
-def _batch_id(group) -> int:
-    digest = hashlib.blake2b(repr([k[:2] for k in group]).encode(), digest_size=8).digest()
+def _batch_id(group, number: int) -> int:
+    """Batches of one content differ by their task and place in it."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    told = repr((task.partitionId() if task else None, number, [k[:2] for k in group]))
+    digest = hashlib.blake2b(told.encode(), digest_size=8).digest()
     return int.from_bytes(digest, "little", signed=True)
 
 
@@ -148,9 +154,9 @@ def _codes(hashes: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
 def _send_probes(n_parts: int, window: int):
     def run(batches):
         hashes = WordHashes()
-        for group, words in _batches(batches, ("k1", "k2", "text")):
+        for number, (group, words) in enumerate(_batches(batches, ("k1", "k2", "text"))):
             runs = _Runs(hashes, words, window)
-            batch, rows = _batch_id(group), []
+            batch, rows = _batch_id(group, number), []
             part, low = _codes(runs.hash, n_parts)
             code = part.astype(np.uint64) << np.uint64(32) | low
             block = runs.at % runs.block == 0
@@ -248,9 +254,9 @@ def _send_windows(n_parts: int, window: int):
 
     def run(batches):
         hashes = WordHashes()
-        for group, words in _batches(batches, ("k1", "k2", "anchors", "text")):
+        for number, (group, words) in enumerate(_batches(batches, ("k1", "k2", "anchors", "text"))):
             runs = _Runs(hashes, words, window)
-            batch, rows = _batch_id(group), []
+            batch, rows = _batch_id(group, number), []
             part, low = _codes(runs.hash, n_parts)
             code = part.astype(np.uint64) << np.uint64(32) | low
             ends = np.searchsorted(runs.of_doc, np.arange(len(runs.doc) + 1))
@@ -348,11 +354,11 @@ def _ranges_of_docs(window: int):
     return turn
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, k1: str = "k1", k2: str = "k2") -> DataFrame:
     return docs.select(
         "*",
-        F.xxhash64("doc_id", "text").alias("k1"),
-        F.hash("text", "doc_id").cast("long").alias("k2"),
+        F.xxhash64("doc_id", "text").alias(k1),
+        F.hash("text", "doc_id").cast("long").alias(k2),
     )
 
 
@@ -389,13 +395,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All columns of `docs` (doc_id, text, ...) and `ranges`, null where nothing
-    repeats."""
-    names = [c for c in docs.columns if c not in ("k1", "k2", "ranges")]
-    return (
-        _keyed(docs.select(*names))
-        .join(repeats(docs, window), ["k1", "k2"], "left")
-        .select(*names, "ranges")
-    )
+    repeats; a column of that name is replaced."""
+    docs = docs.drop("ranges")
+    k1, k2 = fresh("k1", docs.columns), fresh("k2", docs.columns)
+    found = repeats(docs, window).withColumnsRenamed({"k1": k1, "k2": k2})
+    return _keyed(docs, k1, k2).join(found, [k1, k2], "left").select(*docs.columns, "ranges")
 
 
 def kept_words(words: list[bytes], ranges: bytes | None) -> list[bytes]:

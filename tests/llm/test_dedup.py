@@ -139,3 +139,35 @@ def test_sizes_follow_the_threshold():
     assert minhash.table_groups(85) == minhash.GROUPS and minhash.table_groups(80) == 14
     assert minhash.least_shared(85, 11) == 4 and minhash.least_shared(80, 14) == 4
     assert minhash.least_shared(80, 3) == 2
+
+
+def test_repeated_rows_are_one_set(spark):
+    """Two near copies, each repeated 1,000 times: one row of shingles each."""
+    words = [f"w{i}" for i in range(200)]
+    near = ["x", *words[1:]]
+    rows = [(1, " ".join(words))] * 1000 + [(2, " ".join(near))] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    classes = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    classes = classes.selectExpr("struct(xxhash64(doc_id, text) AS k1) AS head", "doc_id AS node")
+    sets = minhash._shingles_of(df, classes, 5)
+    assert sorted(r.node for r in sets.collect()) == [1, 2]
+    assert minhash._first_in_task(df.selectExpr("xxhash64(doc_id, text) AS k1", "text")).count() <= 14
+    pairs = spark.createDataFrame([(1, 2)], "u long, v long")
+    assert minhash._confirmed(pairs, sets, 80).count() == 1
+    got = minhash.near_duplicates(df, percent=85).select("doc_id", "component_id").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1)]
+
+
+def test_passages_keep_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, k1 int, k2 int, ranges int")
+    got = substring.with_repeats(df)
+    assert got.columns == ["doc_id", "text", "k1", "k2", "ranges"]
+    assert tuple(got.first()) == (1, "a b", 5, 6, None)
+
+
+def test_one_row_repeated_in_a_third_of_the_table(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text)] * 2000 + [(10 + i, f"only {i} " + " ".join(f"v{i}x{k}" for k in range(40))) for i in range(4000)]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()
+    assert {(r.n_words, r.n_removed) for r in got if r.doc_id == 1} == {(80, 80)}
+    assert {r.n_removed for r in got if r.doc_id != 1} == {0} and len(got) == 6000

@@ -141,7 +141,7 @@ def test_labels_are_learned_outside_the_fold_only(spark):
 def test_quality_odd_rows(spark):
     rows = [(i, t, "s", "en", 1) for i, t in odd_texts()] + [(95, "a b", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
-    docs = docs.selectExpr("*", "1 AS _site_", "2 AS mean_", "3 AS path_mean")
+    docs = docs.selectExpr("*", "1 AS _site", "2 AS mean", "3 AS path_mean")
     none = spark.createDataFrame([], LABELS)
     got = quality.score(docs, none)
     assert got.count() == len(rows) and got.where("NOT quality_kept").isEmpty()
@@ -173,3 +173,47 @@ def test_held_out_accuracy(spark):
     found = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out")
     assert found.where("predicted = toxic").count() >= 0.9 * found.count()
     assert found.where("predicted = 1 AND toxic = 0").count() <= 0.02 * found.count()
+
+
+def plain_posteriors(rows):
+    """Means of hosts and paths from (host, path, evidence), by loops."""
+    n = len(rows)
+    mean = min(max(sum(e for *_, e in rows) / n, 1e-6), 1 - 1e-6)
+    hosts, paths = {}, {}
+    for h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+
+    def k_of(groups, centre):
+        between = sum(len(v) * (sum(v) / len(v) - centre(g)) ** 2 for g, v in groups.items())
+        squares = sum(len(v) ** 2 for v in groups.values())
+        return quality.strength(mean, len(groups), float(n), float(squares), between)
+
+    k = k_of(hosts, lambda g: mean)
+    host_mean = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    k = k_of(paths, lambda g: sum(hosts[g[0]]) / len(hosts[g[0]]))
+    return {
+        g: (host_mean[g[0]], (sum(v) + k * host_mean[g[0]]) / (len(v) + k)) for g, v in paths.items()
+    }
+
+
+def test_posteriors_equal_plain_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("abcd"), rng.choice("xyz"), rng.random() ** (1 + "abcd".find(h))) for h in "abcd" for _ in range(60)]
+    rows += [("e", "x", 0.99), (None, "x", 0.2), ("a", None, 0.4)]
+    df = spark.createDataFrame(rows, "host string, path string, quality_evidence double")
+    got = {(r.host, r.path): (r.host_mean, r.path_mean) for r in quality.posteriors(df.where("host IS NOT NULL")).collect()}
+    want = plain_posteriors([r for r in rows if r[0] is not None])
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-9 for g in got for a, b in zip(got[g], want[g]))
+
+
+def test_few_distinct_words_at_any_length(spark):
+    rows = [(n, " ".join(f"w{i * 7919 % k}" for i in range(n))) for n, k in ((400, 20), (400, 390), (5000, 40), (5000, 900))]
+    failed = {}
+    bit = rules.mask(("few_distinct_words",))
+    for r in rules.ledger(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        failed.setdefault(r.doc_id, []).append(bool(r.failed & bit))
+    assert {n: sorted(v) for n, v in failed.items()} == {400: [False, True], 5000: [False, True]}
