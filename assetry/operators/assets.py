@@ -253,7 +253,7 @@ def set_messages(files: DataFrame, specs: Registry) -> DataFrame | None:
     return set_rules.messages(counts, failed, ["asset_path"], rules)
 
 
-def _with_findings(bits: DataFrame, c: Compiled) -> DataFrame:
+def findings(bits: DataFrame, c: Compiled) -> DataFrame:
     """Asset bits to one row per asset and specification (an asset has more than
     one only if its directory mixes them), with three packed sets: `missing`
     required traits, `rogue` traits, and `failed` checks."""
@@ -281,8 +281,8 @@ def _with_findings(bits: DataFrame, c: Compiled) -> DataFrame:
     )
 
 
-def _found(c: Compiled) -> Column:
-    """Does a row of `_with_findings` hold any finding?"""
+def has_findings(c: Compiled) -> Column:
+    """Does a row of `findings` hold any finding?"""
     words = (
         _words(c.traits, "rogue") + _words(c.traits, "missing") + _words(c.checks, "failed")
     )
@@ -301,11 +301,11 @@ def asset_table(
     The files are read twice, so they should be a saved table.
     """
     c = Compiled(specs)
-    rows = _with_findings(asset_bits(files, specs), c)
+    rows = findings(asset_bits(files, specs), c)
     messages = row_messages(files, specs)
     extra = set_messages(files, specs)
     if failing_only and extra is None:
-        rows = rows.where(_found(c))
+        rows = rows.where(has_findings(c))
     if extra is not None:
         messages = messages.unionByName(extra)
     messages = messages.groupBy("asset_path").agg(
@@ -387,8 +387,8 @@ def broken_assets(files: DataFrame, specs: Registry) -> DataFrame:
     """asset_path, specification of the assets that break their rules, without
     texts.  Cheaper than `asset_table` where only validity is asked."""
     c = Compiled(specs)
-    rows = _with_findings(asset_bits(files, specs), c)
-    broken = rows.where(_found(c)).select("asset_path", "specification")
+    rows = findings(asset_bits(files, specs), c)
+    broken = rows.where(has_findings(c)).select("asset_path", "specification")
     found = set_failures(files, specs)
     if found is None:
         return broken
@@ -467,8 +467,8 @@ def asset_summary(files: DataFrame, specs: Registry) -> DataFrame:
     then one per specification; nothing is joined back to the files.
     """
     c = Compiled(specs)
-    rows = _with_findings(asset_bits(files, specs), c)
-    sound = ~_found(c)
+    rows = findings(asset_bits(files, specs), c)
+    sound = ~has_findings(c)
     if any(isinstance(x.rule, SetRule) for x in c.checks):
         bad = broken_assets(files, specs).withColumn("_broken", F.lit(True))
         rows = rows.join(bad, ["asset_path", "specification"], "left")

@@ -17,13 +17,14 @@ from assetry.functions import rules as R
 from assetry.operators import assets, files, graph, grouping, publish, set_rules
 from assetry.plans import catalog as plans
 from assetry.plans import workflow
-from assetry.plans.searches import CTE_SEARCH, GROUP_CONCAT_SEARCH, SEARCHES, SPARK_LIST
+from assetry.plans.searches import CTE_SEARCH, GROUP_CONCAT_SEARCH, RECURSIVE_SEARCH, SEARCHES, SPARK_LIST
 from assetry.plans.store import Store
 from assetry.session import configure
 from assetry.sources import fixtures, listing, metadata, objects, progress, staging, traits
 from assetry.sources.fixtures import ROOT, STAGING
 from assetry.sources.tables import materialized, shared_folder
 from assetry.specs import LISTING_SPECS, SET_SPECS, Spec, registry, spec_table, trait
+from assetry.streaming import catalog as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPECS = LISTING_SPECS
@@ -886,6 +887,46 @@ def catalog_changes(spark, sf_dir):
     return _store(spark, sf_dir, BEFORE, AFTER).changes(1, 2)
 
 
+# --- streams ---------------------------------------------------------------------
+
+
+def _listing_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The listing as a stream of four batches, one file each; a quarter of it comes twice."""
+    table = _listing(spark, sf_dir).drop("ok", "ln")
+    parts = F.array(F.col("pk") % 4, F.when(F.col("pk") % 4 == 1, F.lit(3)))
+    spread = table.withColumn("part", F.explode(F.array_compact(parts))).drop("pk")
+    spread = spread.withColumn("listed_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    for i in range(4):
+        spread.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/listing")
+    schema = spread.drop("part").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/listing")
+
+
+@query
+def stream_update(spark, sf_dir):
+    """The catalog after its listing came as a stream, in four batches with repeats."""
+    folder = _fresh(spark, "stream")
+    store = Store(spark, f"{folder}/store")
+    stream = _listing_stream(spark, sf_dir, folder)
+    streams.stream_update(stream, store, SPECS, ROOT, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return store.read().withColumn("file_traits", F.to_json("file_traits"))
+
+
+@query
+def stream_asset_state(spark, sf_dir):
+    """Summary of the states of all assets after the stream has ended."""
+    folder = _fresh(spark, "stream")
+    stream = streams.first_listed(_listing_stream(spark, sf_dir, folder))
+    once = stream.writeStream.format("parquet").option("path", f"{folder}/once")
+    once = once.option("checkpointLocation", f"{folder}/once-checkpoint").trigger(availableNow=True)
+    once.start().awaitTermination()
+    again = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/once")
+    states = streams.asset_states(again, SPECS, ROOT)
+    streams.follow_assets(states, f"{folder}/states", f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    changes = spark.read.parquet(f"{folder}/states")
+    return streams.state_summary(streams.latest_states(changes))
+
+
 # --- search --------------------------------------------------------------------
 
 
@@ -901,3 +942,4 @@ for _name, _sql in SEARCHES.items():
     _search(_name, _sql)
 _search("search_cte", CTE_SEARCH.format(lead="WITH"))
 _search("search_group_concat", GROUP_CONCAT_SEARCH.format(list=SPARK_LIST))
+_search("search_recursive", RECURSIVE_SEARCH.format(lead="WITH RECURSIVE"))

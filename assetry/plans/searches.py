@@ -95,3 +95,14 @@ GROUP_CONCAT_SEARCH = """
           WHERE version IS NOT NULL) v
     GROUP BY project, descriptor"""
 SPARK_LIST = "listagg(cast(version AS string), ',') WITHIN GROUP (ORDER BY cast(version AS string))"
+# Folders above the assets, from each up to the root, with the assets below: sums per folder go up,
+# not assets.
+RECURSIVE_SEARCH = """
+    {lead} folders(folder, n_assets, height) AS (
+        SELECT regexp_extract(asset_path, '^(.*)/[^/]+$', 1), count(DISTINCT asset_path), 1 FROM data
+        WHERE asset_path IS NOT NULL GROUP BY regexp_extract(asset_path, '^(.*)/[^/]+$', 1)
+        UNION ALL
+        SELECT regexp_extract(folder, '^(.*)/[^/]+$', 1), n_assets, height + 1 FROM folders
+        WHERE folder <> '')
+    SELECT folder, CAST(sum(n_assets) AS BIGINT) AS n_assets, max(height) AS height
+    FROM folders GROUP BY folder"""

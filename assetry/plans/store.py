@@ -71,6 +71,7 @@ class Version:
     segments: dict[int, str]
     schema: str
     fingerprint: str
+    batches: dict[str, int]  # last batch merged of each stream
 
     def text(self) -> str:
         return json.dumps(self.__dict__, sort_keys=True)
@@ -130,6 +131,8 @@ class Store:
         stamp: Sequence[str] = (),
         drop: Sequence[str] = (),
         read: Callable[[DataFrame], DataFrame] | None = None,
+        partial: bool = False,
+        batch: tuple[str, int] | None = None,
     ) -> Version:
         """Publish the version that a listing makes of the last one.
 
@@ -137,19 +140,26 @@ class Store:
         equal; those in `drop` are no columns of the catalog.  `read` adds traits to the rows of new and changed files; nothing else
         opens a file.  With another registry or root, every file is new.  Where nothing has
         changed, the last version stays.
+
+        A `partial` listing says nothing of files that it does not have.  `batch` is the name of
+        a stream and the number of its batch: one that the version has seen changes nothing.
         """
         last, mark = self.version(), fingerprint(specs, root)
+        if last and batch and last.batches.get(batch[0], -1) >= batch[1]:
+            return last
+        if last and partial and last.fingerprint != mark:
+            raise ValueError("A part of a listing can't change the registry or the root of a catalog.")
         listing = _stamped(listing, stamp).drop(*drop)
         if last is None or last.fingerprint != mark:
             fresh = tables.materialized(self._parsed(listing, specs, root, read), "files")
             rows = cleanup(validate_assets(fresh, specs)).drop("asset_traits")
-            return self._publish(last, rows, mark, None)
+            return self._publish(last, rows, mark, None, batch)
         old = self.rows(last)
         before = old.select("filepath", F.col(STAMP).alias("stamp_before"), asset_key().alias("key"), bucket_of(last.buckets))
         # what is no more as it was: new, changed or gone files, with the assets that had them
         now = listing.select("filepath", F.col(STAMP).alias("stamp_now"))
         changed = tables.materialized(
-            before.join(now, "filepath", "full").where(~F.col("stamp_before").eqNullSafe(F.col("stamp_now"))),
+            before.join(now, "filepath", "right" if partial else "full").where(~F.col("stamp_before").eqNullSafe(F.col("stamp_now"))),
             "changes",
         )
         new_files = listing.join(changed.where("stamp_now IS NOT NULL").select("filepath"), "filepath", "left_semi")
@@ -168,12 +178,19 @@ class Store:
         checked = tables.materialized(fresh.unionByName(again), "files")
         rows = cleanup(validate_assets(checked, specs)).drop("asset_traits")
         others = kept.join(touched.select("key"), "key", "left_anti").drop("key")
-        return self._publish(last, rows.unionByName(others), mark, buckets)
+        return self._publish(last, rows.unionByName(others), mark, buckets, batch)
 
     def _parsed(self, listing: DataFrame, specs: Registry, root: str, read) -> DataFrame:
         return file_rows(read(listing) if read else listing, specs, root)
 
-    def _publish(self, last: Version | None, rows: DataFrame, mark: str, buckets: list[int] | None) -> Version:
+    def _publish(
+        self,
+        last: Version | None,
+        rows: DataFrame,
+        mark: str,
+        buckets: list[int] | None,
+        batch: tuple[str, int] | None = None,
+    ) -> Version:
         n_buckets = last.buckets if last else self.buckets
         segment = f"{self.folder}/segments/{uuid.uuid4()}"
         columns = rows.columns
@@ -186,7 +203,8 @@ class Store:
             segments |= {b: s for b, s in last.segments.items() if b not in buckets}
         schema = rows.select(*columns).schema
         number = last.number + 1 if last else 1
-        v = Version(number, n_buckets, segments, schema.json(), mark)
+        batches = (last.batches if last else {}) | (dict([batch]) if batch else {})
+        v = Version(number, n_buckets, segments, schema.json(), mark, batches)
         if not tables.write_once(self.spark, self._manifest(number), v.text()):
             raise UpdateConflict(f"Version {number} of {self.folder} is already there.")
         return v

@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
+    # recursive searches stop where their condition says, not at a number of rows
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

@@ -6,7 +6,7 @@ parsed by plain regexes, asset errors by one aggregate with lists.
 
 from __future__ import annotations
 
-from assetry.plans.searches import CTE_SEARCH, GROUP_CONCAT_SEARCH, SEARCHES
+from assetry.plans.searches import CTE_SEARCH, GROUP_CONCAT_SEARCH, RECURSIVE_SEARCH, SEARCHES
 
 # --- the listing -------------------------------------------------------------
 
@@ -692,6 +692,8 @@ ORACLE["catalog_changes"] = f"""SELECT coalesce(a.filepath, b.filepath) AS filep
     WHERE a.filepath IS NULL OR b.filepath IS NULL OR a.asset_error IS DISTINCT FROM b.asset_error
        OR a.asset_valid <> b.asset_valid OR a.file_traits IS DISTINCT FROM b.file_traits"""
 
+ORACLE["stream_update"] = ORACLE["update"]
+ORACLE["stream_asset_state"] = ORACLE["asset_summary"]
 _FILES_OF_PART = """SELECT 'm' || p_partkey % 7 || '/part' || p_partkey || '.txt' AS name,
     p_name || chr(10) || p_brand AS value FROM part"""
 ORACLE["stage_content"] = f"""SELECT name AS target, CAST(strlen(value) AS BIGINT) AS bytes, sha256(value) AS sha256,
@@ -719,3 +721,4 @@ ORACLE["search_cte"] = f"{DATA} {CTE_SEARCH.format(lead=',')}"
 ORACLE["search_group_concat"] = DATA + GROUP_CONCAT_SEARCH.format(
     list="string_agg(CAST(version AS VARCHAR), ',' ORDER BY CAST(version AS VARCHAR))"
 )
+ORACLE["search_recursive"] = DATA.replace("WITH ", "WITH RECURSIVE ", 1) + RECURSIVE_SEARCH.format(lead=",")

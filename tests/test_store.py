@@ -5,11 +5,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from assetry.operators import assets as operators
+from assetry.operators import files
 from assetry.plans import catalog as plans
 from assetry.plans import workflow as w
 from assetry.plans.store import Store, UpdateConflict, fingerprint
 from assetry.sources import tables
 from assetry.specs import LISTING_SPECS, SMALL_SPECS
+from assetry.streaming import catalog as streams
 from tests.tree import make_tree
 
 
@@ -140,3 +143,58 @@ def test_a_local_session_without_a_shared_folder_gets_one():
     _Local.sparkContext.master = "spark://somewhere"
     with pytest.raises(ValueError, match="shared folder"):
         tables.shared_folder(_Local)
+
+
+def _stream(spark, folder, tables):
+    for t in tables:
+        t.withColumn("listed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_a_stream_of_listings_is_merged(spark, store, tmp_path):
+    first, more = named(spark, assets(1, 2)), named(spark, assets(3))
+    stream = _stream(spark, str(tmp_path / "in"), [first, more])
+
+    def run():
+        query = streams.stream_update(
+            stream, store, LISTING_SPECS, "/r", str(tmp_path / "checkpoint"), availableNow=True
+        )
+        query.awaitTermination()
+
+    run()
+    whole = first.unionByName(more)
+    assert content(store.read()) == content(plans.update(whole, LISTING_SPECS, "/r"))
+    assert store.version().batches["listing"] >= 1
+    # restarted from its checkpoint: a changed file and one more
+    wide = named(spark, [("p-proj001_s-spec002_d-a_v001", 1)], width=9)
+    new = named(spark, [("p-proj001_s-spec002_d-z_v001", 1)])
+    _stream(spark, str(tmp_path / "in"), [wide.unionByName(new)])
+    run()
+    left = whole.where("NOT filepath LIKE '%d-a_v001_f0001.jpg'")
+    assert content(store.read()) == content(plans.update(left.unionByName(wide).unionByName(new), LISTING_SPECS, "/r"))
+    # a batch that is known changes nothing
+    versions = store.versions()
+    number = store.version().batches["listing"]
+    store.update(named(spark, assets(7)), LISTING_SPECS, "/r", partial=True, batch=("listing", number))
+    assert store.versions() == versions
+    with pytest.raises(ValueError):
+        store.update(first, SMALL_SPECS, "/r", partial=True)
+
+
+def test_states_of_assets_survive_a_restart(spark, tmp_path):
+    folder, states_at = str(tmp_path / "in"), str(tmp_path / "states")
+    first, more = named(spark, assets(1, 2)), named(spark, assets(3), width=8)
+    stream = _stream(spark, folder, [first])
+
+    def run():
+        states = streams.asset_states(stream, LISTING_SPECS, "/r")
+        streams.follow_assets(states, states_at, str(tmp_path / "checkpoint"), availableNow=True).awaitTermination()
+        return streams.state_summary(streams.latest_states(spark.read.parquet(states_at))).collect()
+
+    def want(table):
+        return operators.asset_summary(files.file_rows(table, LISTING_SPECS, "/r"), LISTING_SPECS).collect()
+
+    assert run() == want(first)
+    _stream(spark, folder, [more])
+    assert run() == want(first.unionByName(more))
