@@ -14,8 +14,10 @@ from functools import reduce
 from operator import or_
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from assetry.functions.naming import (
     COORDINATE_PADDING,
@@ -84,6 +86,31 @@ def each(name: str, passes: Predicate, report: Predicate, args: Sequence = ()) -
     return Rule(name, tuple(args), passes, report, (passes, report))
 
 
+def each_python(name: str, passes: Callable[[Any], bool], text: str = "{} is not valid.") -> Rule:
+    """Make a rule of your own from a Python predicate on single values.
+
+    Values are Python's (lists for coordinates).  A predicate that raises does not pass.  All such
+    rules of a registry are run by Spark in one pass of Arrow batches; the text has the
+    value for `{}`.
+    """
+
+    @F.arrow_udf(BooleanType())
+    def judge(values: pa.Array) -> pa.Array:
+        return pa.array([v is not None and _holds(passes, v) for v in values.to_pylist()], pa.bool_())
+
+    before, _, after = text.partition("{}")
+    return Rule(
+        name, (), judge, lambda v: F.concat(F.lit(before), as_text(v), F.lit(after)), (passes, text)
+    )
+
+
+def _holds(passes: Callable[[Any], bool], value: Any) -> bool:
+    try:
+        return bool(passes(value))
+    except Exception:  # a value that a predicate can't judge is not valid
+        return False
+
+
 def _quoted(what: str) -> Predicate:
     return lambda v: F.concat(F.lit('"'), v, F.lit(f'" is not a valid {what}.'))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from assetry.functions import naming, paths
 from assetry.functions import rules as R
 from assetry.operators import assets, files, graph, grouping, publish, set_rules
+from assetry.operators.merging import Aggregator
+from assetry.operators.merging import group_merge as group_merge_of
 from assetry.plans import catalog as plans
 from assetry.plans import workflow
 from assetry.plans.searches import CTE_SEARCH, GROUP_CONCAT_SEARCH, RECURSIVE_SEARCH, SEARCHES, SPARK_LIST
@@ -585,6 +588,29 @@ def group_lookup(spark, sf_dir):
     )
 
 
+def _widened(state: list, frame: int | None) -> list:
+    if frame is not None:
+        low, high, n, total = state
+        state = [min(low, frame), max(high, frame), n + 1, total + frame]
+    return state
+
+
+# Lowest, highest, number and mean (rounded down) of frames as one text.
+FRAME_RANGE = Aggregator(
+    start=lambda: [10**9, -1, 0, 0],
+    add=_widened,
+    merge=lambda a, b: [min(a[0], b[0]), max(a[1], b[1]), a[2] + b[2], a[3] + b[3]],
+    finish=lambda s: f"{s[0]}-{s[1]} {s[2]} {s[3] // s[2]}" if s[2] else "none",
+    returns="string",
+)
+
+
+@query
+def group_merge(spark, sf_dir):
+    rows = _rows(spark, sf_dir).select("asset_path", F.col("file_traits.frame").alias("frame"))
+    return group_merge_of(rows, "asset_path", F.col("frame"), FRAME_RANGE, "frames")
+
+
 @query
 def lookup_join(spark, sf_dir):
     rows = materialized(_rows(spark, sf_dir).select("filepath", "asset_path"), "paths")
@@ -851,6 +877,42 @@ def validate_sets(spark, sf_dir):
     return plans.assets_of(_listing(spark, sf_dir).drop("ok", "ln", "pk"), SET_SPECS, ROOT)
 
 
+OWN_SPECS = registry(
+    [
+        replace(
+            LISTING_SPECS["spec001"],
+            traits={
+                **LISTING_SPECS["spec001"].traits,
+                "version": trait(R.is_version(), R.each_python("not_seven", lambda v: v % 7 != 0, "{} is a multiple of seven.")),
+                "coordinate": trait(
+                    R.each_python("low", lambda c: sum(c) < 3, "{} is too far out."),
+                    R.each_set("some", lambda m: m("n_distinct") > 1, lambda m: F.format_string("%d places.", m("n_distinct"))),
+                    required=True,
+                ),
+            },
+        ),
+        replace(
+            LISTING_SPECS["spec002"],
+            traits={
+                **LISTING_SPECS["spec002"].traits,
+                "frame": trait(
+                    R.each("below", lambda v: v < 4000, lambda v: F.concat(v.cast("string"), F.lit(" is late."))),
+                    required=True,
+                ),
+            },
+        ),
+        LISTING_SPECS["vdb001"],
+    ]
+)
+
+
+@query
+def validate_own(spark, sf_dir):
+    """As `validate_assets`, with rules of the user's own: Python predicates, column functions and
+    a function of measures."""
+    return plans.assets_of(_listing(spark, sf_dir).drop("ok", "ln", "pk"), OWN_SPECS, ROOT)
+
+
 @query
 def set_summary(spark, sf_dir):
     return assets.asset_summary(materialized(_rows(spark, sf_dir), "files"), SET_SPECS)

@@ -643,6 +643,25 @@ set_assets AS (
 ORACLE["validate_sets"] = f"""{CATALOG}, {_SETS} SELECT asset_path, specification, n_files, n_file_errors,
     CASE WHEN len(texts) > 0 THEN 'DataError( ' || array_to_string(texts, ' ') || ' )' END AS asset_error
     FROM set_assets"""
+ORACLE["group_merge"] = f"""{ROWS} SELECT asset_path, CASE WHEN count(frame) = 0 THEN 'none' ELSE
+    min(frame) || '-' || max(frame) || ' ' || count(frame) || ' ' || CAST(sum(frame) AS BIGINT) // count(frame) END AS frames
+    FROM rows WHERE asset_path IS NOT NULL GROUP BY asset_path"""
+ORACLE["validate_own"] = f"""{CATALOG}, own AS (
+        SELECT asset_path, list_filter([
+            CASE WHEN specification = 'spec001' AND max(version) % 7 = 0
+                 THEN 'version: ' || max(version) || ' is a multiple of seven.' END,
+            CASE WHEN specification = 'spec001' AND max(cx + cy) >= 3
+                 THEN 'coordinate: [' || arg_min(cx || ', ' || cy, filepath) FILTER (WHERE cx + cy >= 3) || '] is too far out.' END,
+            CASE WHEN specification = 'spec001' AND count(DISTINCT (cx, cy)) FILTER (WHERE cx IS NOT NULL) > 1
+                 THEN 'coordinate: ' || count(DISTINCT (cx, cy)) FILTER (WHERE cx IS NOT NULL) || ' places.' END,
+            CASE WHEN specification = 'spec002' AND max(frame) >= 4000
+                 THEN 'frame: ' || arg_min(frame, filepath) FILTER (WHERE frame >= 4000) || ' is late.' END
+            ], lambda x: x IS NOT NULL) AS more
+        FROM rows WHERE asset_path IS NOT NULL GROUP BY asset_path, specification),
+    told AS (SELECT p.*, list_sort(list_concat(texts, more)) AS every FROM problems p JOIN own USING (asset_path))
+    SELECT asset_path, specification, n_files, n_file_errors,
+        CASE WHEN len(every) > 0 THEN 'DataError( ' || array_to_string(every, ' ') || ' )' END AS asset_error
+    FROM told"""
 ORACLE["set_summary"] = f"""{CATALOG}, {_SETS} SELECT specification, count(*) AS n_assets,
     count(*) FILTER (WHERE len(texts) = 0 AND n_file_errors = 0) AS n_valid_assets,
     CAST(sum(n_files) AS BIGINT) AS n_files,

@@ -213,3 +213,18 @@ def test_twenty_set_rules_are_two_aggregates(spark, tmp_path):
         ("a", "frame", "not_missing"), ("a", "width", "homogenous"), ("a", "width", "rule0"), ("a", "width", "rule1"),
         ("b", "width", "rule0"),
     }
+
+
+def test_python_rules_run_in_one_pass(spark):
+    even = R.each_python("even", lambda v: v % 2 == 0, "{} is odd.")
+    near = R.each_python("near", lambda c: sum(c) < 5)
+    odd = R.each_python("fails", lambda v: 1 // (v - 3) >= 0)
+    df = spark.createDataFrame([(1, [1, 2]), (2, [4, 4]), (3, [0]), (None, None)], "v int, c array<int>")
+    v, c = F.col("v"), F.col("c")
+    table = df.select(even.message(v).alias("a"), near.message(c).alias("b"), odd.fails(v).alias("d"))
+    assert [tuple(r) for r in table.collect()] == [
+        ("1 is odd.", None, True), (None, "[4, 4] is not valid.", True), ("3 is odd.", None, True), (None, None, False),
+    ]
+    flags = df.select(even.fails(v), near.fails(c), odd.fails(v))
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
