@@ -43,6 +43,7 @@ class Rule:
     passes: Predicate = field(compare=False, default=None)
     report: Predicate = field(compare=False, default=None)
     own: tuple = ()
+    raw: bool = field(compare=False, default=False)  # judges a user trait's text, not its typed value
     kinds: tuple = field(init=False, default=())
 
     def __post_init__(self) -> None:
@@ -262,6 +263,24 @@ def each_set(
     return SetRule(name, tuple(args), fails, report, None, (fails, report))
 
 
+def read_typed(text: Column, dtype: str) -> Column:
+    """The text of a user trait as a value of a type; null where it is none."""
+    if dtype == "string":
+        return text
+    return F.try_variant_get(F.try_parse_json(text), "$", dtype)
+
+
+def reads_as(dtype: str) -> Rule:
+    """The text of a user trait can be read as a type."""
+    return Rule(
+        "reads_as",
+        (dtype,),
+        lambda v: read_typed(v, dtype).isNotNull(),
+        lambda v: F.concat(F.lit("Value '"), v, F.lit(f"' is not {dtype}.")),
+        raw=True,
+    )
+
+
 def is_homogenous() -> SetRule:
     def text(m: Measures) -> Column:
         low = F.coalesce(m("low_text"), as_text(m("low")), as_text(m("low_point")))

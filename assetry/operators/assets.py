@@ -10,26 +10,27 @@ afterwards, from failing rows only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetry.functions import naming
-from assetry.functions.rules import Rule, SetRule
+from assetry.functions.rules import Rule, SetRule, read_typed
 from assetry.operators import set_rules
 from assetry.specs import IMAGE_TRAITS, Registry, by_spec
 
 BITS = 62  # per long, sign bit left alone
 
 
-def trait_value(name: str) -> Column:
-    """A trait of a file row as a typed column."""
+def trait_value(name: str, types: Mapping[str, str] | None = None) -> Column:
+    """A trait of a file row as a typed column; a user trait is text unless `types` has it."""
     traits = F.col("file_traits")
     if name in naming.FIELDS or name in IMAGE_TRAITS or name == "filename_error":
         return traits.getField(name)
-    return F.try_element_at(traits.getField("user"), F.lit(name))
+    text = F.try_element_at(traits.getField("user"), F.lit(name))
+    return read_typed(text, types[name]) if types and name in types else text
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,11 @@ class Compiled:
         )
         self.checks = tuple(checks)
         self.spec_names = tuple(specs)
+        self.types: dict[str, str] = {}
+        for s in specs.values():
+            for t, dtype in s.trait_types.items():
+                if self.types.setdefault(t, dtype) != dtype:
+                    raise ValueError(f"Trait {t} is declared as {self.types[t]} and as {dtype}.")
 
     def presence(self) -> list[Column]:
         """Per trait: is it present on this row?"""
@@ -81,10 +87,15 @@ class Compiled:
             for t in self.traits
         ]
 
+    def value(self, check: Check) -> Column:
+        """What a check judges on a row."""
+        raw = isinstance(check.rule, Rule) and check.rule.raw
+        return trait_value(check.trait, None if raw else self.types)
+
     def failures(self) -> list[Column]:
         """Per check: does this row fail it?  Set rules never fail on a row."""
         return [
-            c.rule.fails(trait_value(c.trait)) if isinstance(c.rule, Rule) else F.lit(False)
+            c.rule.fails(self.value(c)) if isinstance(c.rule, Rule) else F.lit(False)
             for c in self.checks
         ]
 
@@ -183,7 +194,7 @@ def row_messages(files: DataFrame, specs: Registry) -> DataFrame:
         if not isinstance(check.rule, Rule):
             continue
         owners = [s for s in c.spec_names if i in c.check_bits(s)]
-        value = trait_value(check.trait)
+        value = c.value(check)
         fails = F.col("specification").isin(owners) & check.rule.fails(value)
         any_fails = any_fails | fails
         found.append(
@@ -220,11 +231,12 @@ def _set_streams(c: Compiled) -> tuple[dict, list]:
         key = (check.trait, owners)
         if key not in numbers:
             numbers[key] = len(numbers)
-            value = trait_value(check.trait)
-            if check.trait == "coordinate":
+            value = c.value(check)
+            if check.trait == "coordinate" or c.types.get(check.trait, "") == "array<int>":
                 kind = "point"
             else:
-                kind = "number" if check.trait in (*IMAGE_TRAITS, "version", "frame") else "text"
+                whole = check.trait in (*IMAGE_TRAITS, "version", "frame")
+                kind = "number" if whole or c.types.get(check.trait) in ("int", "bigint") else "text"
             streams[numbers[key]] = (
                 F.col("specification").isin(list(owners)) & value.isNotNull(),
                 set_rules.stream_value(value, kind),

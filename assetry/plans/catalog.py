@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetry.functions.paths import coordinate_axes
+from assetry.functions.rules import read_typed
 from assetry.operators.assets import asset_table, validate_assets
 from assetry.operators.files import cleanup, file_rows
 from assetry.sources.tables import materialized
@@ -88,12 +89,17 @@ def read_files(catalog: DataFrame) -> DataFrame:
 
 
 def read_user_traits(catalog: DataFrame, names: dict[str, str]) -> DataFrame:
-    """`read_files` plus user traits as typed columns: name to type."""
+    """`read_files` plus user traits as typed columns: name to type.  Lists and structs are no
+    columns of a read, so they come as JSON."""
     user = F.col("file_traits.user")
-    extra = catalog.select(
-        "*",
-        *[F.try_element_at(user, F.lit(n)).try_cast(t).alias(n) for n, t in names.items()],
-    )
+
+    def typed(name: str, dtype: str) -> Column:
+        text = F.try_element_at(user, F.lit(name))
+        value = read_typed(text, dtype)
+        scalar = not dtype.startswith(("array", "struct", "map"))
+        return F.coalesce(value, text.try_cast(dtype)) if scalar else F.to_json(value)
+
+    extra = catalog.select("*", *[typed(n, t).alias(n) for n, t in names.items()])
     return read_files(extra)
 
 

@@ -913,6 +913,38 @@ def validate_own(spark, sf_dir):
     return plans.assets_of(_listing(spark, sf_dir).drop("ok", "ln", "pk"), OWN_SPECS, ROOT)
 
 
+def _order(path: str) -> int:
+    return int(path.split("/o")[1].split("/")[0])
+
+
+TYPED_SPECS = registry(
+    [
+        replace(
+            LISTING_SPECS["vdb001"],
+            traits={
+                **LISTING_SPECS["vdb001"].traits,
+                "parts": trait(R.each_python("small", lambda v: sum(v) < 7, "{} is too much.")),
+                "even": trait(R.is_eq(True)),
+                "rest": trait(R.is_gt(2)),
+            },
+            file_traits={
+                "parts": lambda path: [_order(path) % 3, _order(path) % 7],
+                "even": lambda path: _order(path) % 2 == 0,
+                "rest": lambda path: "none" if _order(path) % 5 == 0 else _order(path) % 10,
+            },
+            trait_types={"parts": "array<int>", "even": "boolean", "rest": "int"},
+        )
+    ]
+)
+
+
+@query
+def typed_traits(spark, sf_dir):
+    """Assets judged by lists, truth values and numbers that user functions read."""
+    table = _listing(spark, sf_dir).select("filepath", "filename", "extension")
+    return plans.assets_of(traits.read_traits(table, TYPED_SPECS), TYPED_SPECS, ROOT)
+
+
 @query
 def set_summary(spark, sf_dir):
     return assets.asset_summary(materialized(_rows(spark, sf_dir), "files"), SET_SPECS)

@@ -60,7 +60,9 @@ class Spec:
 
     ``asset_path`` turns the file path into the path of its asset.  `file`
     assets are the file itself and `sequence` assets its directory; a `complex`
-    asset needs ``asset_path`` given.
+    asset needs ``asset_path`` given.  ``file_traits`` are functions of the path that read
+    traits from a file; ``trait_types`` the Spark types of their values (number, truth, list,
+    struct), text where none is given.  A value of another type fails its rule.
     """
 
     name: str
@@ -69,6 +71,7 @@ class Spec:
     asset_name_fields: Sequence[str] = BASE_FIELDS
     traits: Mapping[str, Trait] = field(default_factory=dict)
     file_traits: Mapping[str, Callable[[str], object]] = field(default_factory=dict)
+    trait_types: Mapping[str, str] = field(default_factory=dict)
     image_traits: Sequence[str] = ()
     asset_path: Callable[[Column], Column] | None = None
 
@@ -83,7 +86,11 @@ class Spec:
     @property
     def fields(self) -> dict[str, Trait]:
         """All declared traits with their rules."""
-        return {**BASE_TRAITS, **self.traits}
+        every = {**BASE_TRAITS, **self.traits}
+        for name, dtype in self.trait_types.items():
+            own = every.get(name, Trait())
+            every[name] = Trait((R.reads_as(dtype), *own.rules), own.required)
+        return every
 
     @property
     def required(self) -> tuple[str, ...]:

@@ -662,6 +662,19 @@ ORACLE["validate_own"] = f"""{CATALOG}, own AS (
     SELECT asset_path, specification, n_files, n_file_errors,
         CASE WHEN len(every) > 0 THEN 'DataError( ' || array_to_string(every, ' ') || ' )' END AS asset_error
     FROM told"""
+ORACLE["typed_traits"] = f"""{CATALOG}, own AS (
+        SELECT asset_path, list_filter([
+            CASE WHEN max(ok) % 3 + max(ok) % 7 >= 7
+                 THEN 'parts: [' || max(ok) % 3 || ', ' || max(ok) % 7 || '] is too much.' END,
+            CASE WHEN max(ok) % 2 = 1 THEN 'even: false != True.' END,
+            CASE WHEN max(ok) % 5 = 0 THEN 'rest: Value ''none'' is not int.'
+                 WHEN max(ok) % 10 <= 2 THEN 'rest: ' || max(ok) % 10 || ' !> 2.' END
+            ], lambda x: x IS NOT NULL) AS more
+        FROM rows WHERE specification = 'vdb001' GROUP BY asset_path),
+    told AS (SELECT p.*, list_sort(list_concat(texts, more)) AS every FROM problems p JOIN own USING (asset_path))
+    SELECT asset_path, specification, n_files, n_file_errors,
+        CASE WHEN len(every) > 0 THEN 'DataError( ' || array_to_string(every, ' ') || ' )' END AS asset_error
+    FROM told"""
 ORACLE["set_summary"] = f"""{CATALOG}, {_SETS} SELECT specification, count(*) AS n_assets,
     count(*) FILTER (WHERE len(texts) = 0 AND n_file_errors = 0) AS n_valid_assets,
     CAST(sum(n_files) AS BIGINT) AS n_files,
