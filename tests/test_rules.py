@@ -234,7 +234,7 @@ def test_declared_types_of_user_traits(spark):
     from assetry.operators import assets
     from assetry.specs import Spec, registry
 
-    df = spark.createDataFrame([("[1, 2]", "true", "7"), ("no list", "5", "x"), (None, None, None)], "a string, b string, c string")
+    df = spark.createDataFrame([("[1, 2]", "true", "7"), ("no list", "maybe", "x"), (None, None, None)], "a string, b string, c string")
     typed = df.select(*[R.read_typed(F.col(c), t).alias(c) for c, t in (("a", "array<int>"), ("b", "boolean"), ("c", "int"))])
     assert [tuple(r) for r in typed.collect()] == [([1, 2], True, 7), (None, None, None), (None, None, None)]
     assert [r[0] for r in df.select(R.reads_as("int").message(F.col("c"))).collect()] == [None, "Value 'x' is not int.", None]
