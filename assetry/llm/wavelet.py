@@ -172,12 +172,27 @@ class Shard:
             at = self._select(p, bit, at - int(self.zeros[p]) if bit else at)
         return at
 
+    def _bits(self, plane: int) -> np.ndarray:
+        data = np.concatenate([self._block(plane, k) for k in range(self.per_plane - 1)])
+        return np.unpackbits(data, bitorder="little", count=self.n)
+
+    def occurrences(self, token: int) -> np.ndarray:
+        """Places of all occurrences of an id, ascending: the range that it has below the last
+        plane is taken up plane by plane."""
+        low, high = self._narrowed(token, 0, self.n)
+        at = np.arange(low, high)
+        for p in range(self.planes - 1, -1, -1):
+            if not len(at):
+                break
+            bit = token >> (self.planes - 1 - p) & 1
+            at = np.flatnonzero(self._bits(p) == bit)[at - int(self.zeros[p]) if bit else at]
+        return np.sort(at)
+
     def ids(self) -> np.ndarray:
         """The whole row, put together from the last plane up."""
         row = np.zeros(self.n, dtype=np.uint16 if self.planes <= 16 else np.uint32)
         for p in range(self.planes - 1, -1, -1):
-            data = np.concatenate([self._block(p, k) for k in range(self.per_plane - 1)])
-            ones = np.unpackbits(data, bitorder="little", count=self.n).view(bool)
+            ones = self._bits(p).view(bool)
             above, z = np.empty_like(row), int(self.zeros[p])
             above[~ones] = row[:z]
             above[ones] = row[z:] | row.dtype.type(1 << (self.planes - 1 - p))
@@ -302,3 +317,87 @@ def read(shards: DataFrame) -> DataFrame:
 
     n = max(1, shards.count())
     return with_starts(shards).select("path", "start").repartition(n).mapInArrow(run, schema)
+
+
+def _of_shards(shards: DataFrame, work, schema: str) -> DataFrame:
+    """Rows that `work` makes of each opened shard and its start."""
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        give_back()
+        for batch in batches:
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                shard = Shard(path)
+                for columns in work(shard, start):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow
+                    )
+                shard.close()
+
+    return with_starts(shards).select("path", "start").repartition("path").mapInArrow(run, schema)
+
+
+def count(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): occurrences of each of the given ids in all shards, by rank alone; a token that
+    does not occur has 0.  The ids are a parameter, not a table."""
+    asked = list(dict.fromkeys(tokens))
+
+    def work(shard, _):
+        yield asked, [shard.count(t) for t in asked]
+
+    found = _of_shards(shards, work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    wanted = shards.sparkSession.createDataFrame([(t,) for t in asked], "token long")
+    return wanted.join(found, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """(doc_id, place, position) of every occurrence of an id, by select: its place in its
+    document, and among all ids."""
+
+    def work(shard, start):
+        at = shard.occurrences(token)
+        for k in range(0, len(at), 1 << 16):
+            own = at[k : k + (1 << 16)]
+            doc = np.searchsorted(shard.starts, own, side="right") - 1
+            yield [shard.doc_ids[d] for d in doc.tolist()], own - shard.starts[doc], own + start
+
+    return _of_shards(shards, work, "doc_id long, place long, position long")
+
+
+def access(shards: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, token) for a table of positions among all ids; null where there is no such
+    place.  Repeated positions give a row each.
+
+    A shard covers few stretches of a fixed length, so positions find theirs by the number of
+    their stretch; the rows of a shard are read in one opening.
+    """
+    span = SHARD_TOKENS
+    first, last = F.expr(f"start div {span}"), F.expr(f"(start + n_tokens - 1) div {span}")
+    covered = with_starts(shards).where("n_tokens > 0").select(
+        "path", "start", "n_tokens", F.explode(F.sequence(first, last)).alias("stretch")
+    )
+    asked = positions.select(F.col("position").cast("long").alias("position"))
+    asked = asked.withColumn("stretch", F.expr(f"position div {span}"))
+    inside = (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens"))
+    found = asked.join(covered, (asked["stretch"] == covered["stretch"]) & inside, "left")
+    schema = "position long, token long"
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        give_back()
+        path, shard = None, None
+        for batch in batches:
+            tokens = []
+            rows = zip(*[batch.column(c).to_pylist() for c in ("path", "start", "position")])
+            for own, start, position in rows:
+                if own != path:
+                    if shard:
+                        shard.close()
+                    path, shard = own, Shard(own) if own else None
+                tokens.append(shard.access(position - start) if shard else None)
+            yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(tokens, pa.int64())], schema=arrow)
+        if shard:
+            shard.close()
+
+    dealt = found.select("path", "start", "position").repartition("path").sortWithinPartitions("path", "position")
+    return dealt.mapInArrow(run, schema)

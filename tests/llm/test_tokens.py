@@ -146,3 +146,25 @@ def test_wavelet_queries(tmp_path, n, monkeypatch):
     with pytest.raises(IndexError):
         shard.access(n)
     shard.close()
+
+
+def test_lookups_over_all_shards(spark):
+    rows = [(i, t) for i, t in odd_texts() if i is not None] + [(900 + i, "the same words") for i in range(40)]
+    shards = wavelet.write(frame(spark, rows, extra=False), shard_tokens=500)
+    assert shards.count() > 10
+    read = wavelet.read(shards).orderBy("start").collect()
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in read]).astype(int)
+    tokens = [2, int(ids[0]), int(ids[-2]), 49_000, 70_000]
+    got = {r.token: r.n for r in wavelet.count(shards, [*tokens, 2]).collect()}
+    assert got == {t: int((ids == t).sum()) for t in tokens}
+    for token in tokens:
+        found = wavelet.occurrences(shards, token).orderBy("position").collect()
+        assert [r.position for r in found] == np.flatnonzero(ids == token).tolist()
+        for r in found[:50]:
+            [doc] = [d for d in read if d.start <= r.position < d.start + d.n_tokens]
+            assert doc.doc_id == r.doc_id and r.place == r.position - doc.start
+    asked = [0, 5, 5, 499, 500, 1234, len(ids) - 1, len(ids), -1, None]
+    table = spark.createDataFrame([(a,) for a in asked], "position long")
+    got = sorted(map(str, map(tuple, wavelet.access(shards, table).collect())))
+    want = [(a, int(ids[a]) if a is not None and 0 <= a < len(ids) else None) for a in asked]
+    assert got == sorted(map(str, want))
