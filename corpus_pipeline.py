@@ -20,12 +20,16 @@ NEAR_PERCENT = 80  # documents are near-duplicates from this similarity on
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps.  A null or empty text is scored as one
+    without words, null sources and languages are sites of their own, rows of one id are
+    scored each for itself; without labels all stay.  An empty table stays empty."""
     return quality.score(docs.select(*COLUMNS), labels(spark, sf_dir)).where("quality_kept").select(*COLUMNS)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half."""
+    """Documents whose toxicity score is under one half.  A null or empty text has no clause and
+    stays; rows are scored each for itself, whatever their ids; without labels of both
+    kinds all stay.  An empty table stays empty."""
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, labels(spark, sf_dir))
     return toxicity.score(docs, model).where("toxic_score < 0.5").select(*COLUMNS)
@@ -44,8 +48,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages cut out; texts without one stay as they are, and documents of
-    which nothing is left go."""
+    """Repeated passages cut out; texts without one stay as they are, null and empty ones
+    too, and documents of which nothing is left go.  Equal rows are copies of one another,
+    so their passages go in all.  An empty table stays empty."""
     docs = docs.select(*COLUMNS)
 
     def make():
@@ -69,7 +74,8 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths, each a sequence."""
+    """Pieces of power-of-two lengths, each a sequence.  A null or empty text is the end id
+    alone; rows of one id are packed each for itself.  An empty table gives no piece."""
     return packing.pack(docs)
 
 
