@@ -32,6 +32,8 @@ HEADLINE = (
     "format_name",
     "group_lookup",
     "missing_values",
+    "validate_sets",
+    "missing_boxes",
 )
 
 
@@ -44,7 +46,7 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     memory = os.environ.get("BENCH_MEMORY", "12g")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, memory)
