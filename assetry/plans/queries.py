@@ -26,7 +26,7 @@ from assetry.session import configure
 from assetry.sources import fixtures, listing, metadata, objects, progress, staging, traits
 from assetry.sources.fixtures import ROOT, STAGING
 from assetry.sources.tables import materialized, shared_folder
-from assetry.specs import LISTING_SPECS, SET_SPECS, Spec, registry, spec_table, trait
+from assetry.specs import EXAMPLE_SPECS, LISTING_SPECS, SET_SPECS, SHIPPED_SPECS, Spec, registry, spec_table, trait
 from assetry.streaming import catalog as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -945,6 +945,20 @@ def typed_traits(spark, sf_dir):
     return plans.assets_of(traits.read_traits(table, TYPED_SPECS), TYPED_SPECS, ROOT)
 
 
+@query
+def validate_examples(spark, sf_dir):
+    """Assets judged by the example specifications as they are shipped."""
+    return plans.assets_of(_listing(spark, sf_dir).drop("ok", "ln", "pk"), EXAMPLE_SPECS, ROOT)
+
+
+@query
+def validate_shipped(spark, sf_dir):
+    """Assets of the raw specifications as they are shipped; files of `raw009` are taken for theirs."""
+    table = _listing(spark, sf_dir).drop("ok", "ln", "pk")
+    names = {c: F.replace(F.col(c), F.lit("raw009"), F.lit("raw001")) for c in ("filepath", "filename")}
+    return plans.assets_of(table.withColumns(names), SHIPPED_SPECS, ROOT)
+
+
 @query
 def set_summary(spark, sf_dir):
     return assets.asset_summary(materialized(_rows(spark, sf_dir), "files"), SET_SPECS)

@@ -675,6 +675,37 @@ ORACLE["typed_traits"] = f"""{CATALOG}, own AS (
     SELECT asset_path, specification, n_files, n_file_errors,
         CASE WHEN len(every) > 0 THEN 'DataError( ' || array_to_string(every, ' ') || ' )' END AS asset_error
     FROM told"""
+_TOLD = """told AS (SELECT *, CASE WHEN len(texts) > 0 THEN 'DataError( ' || array_to_string(list_sort(texts), ' ') || ' )' END
+             AS asset_error FROM judged)
+    SELECT asset_path, specification, n_files, n_file_errors, asset_error FROM told"""
+
+
+def _absent(trait: str, column: str) -> str:
+    return f"CASE WHEN count({column}) = 0 THEN '{trait}: This field is required.' END"
+
+
+ORACLE["validate_examples"] = f"""{ROWS}, judged AS (
+        SELECT asset_path, specification, count(*) AS n_files, count(file_error) AS n_file_errors, list_filter([
+            CASE WHEN count(filename_error) > 0 THEN 'filename_error: Rogue field.' END,
+            {_absent("extension", "name_extension")},
+            CASE WHEN specification <> 'vdb001' THEN {_absent("frame", "frame")} END,
+            CASE WHEN specification = 'spec001' THEN {_absent("descriptor", "descriptor")} END,
+            CASE WHEN specification = 'spec001' AND count(DISTINCT descriptor) > 1 THEN 'descriptor: values from '
+                 || min(descriptor) || ' to ' || max(descriptor) || ' are not homogenous.' END,
+            CASE WHEN specification = 'spec002' THEN 'width: ' || arg_min(trait_width, filepath) || ' != 1024.' END,
+            CASE WHEN specification = 'spec002' THEN 'height: ' || arg_min(trait_height, filepath) || ' != 1024.' END
+            ], lambda x: x IS NOT NULL) AS texts
+        FROM rows WHERE asset_path IS NOT NULL GROUP BY asset_path, specification), {_TOLD}"""
+_RAW = _with(
+    _LISTING.replace("'raw009'", "'raw001'"),
+    _FILES.replace("'spec002'", "'raw001'").replace("('spec001', 'raw001', 'vdb001')", "('raw001')"),
+)
+ORACLE["validate_shipped"] = f"""{_RAW}, judged AS (
+        SELECT asset_path, specification, count(*) AS n_files, count(file_error) AS n_file_errors, list_filter([
+            CASE WHEN count(filename_error) > 0 THEN 'filename_error: Rogue field.' END,
+            {_absent("extension", "name_extension")}, {_absent("frame", "frame")}
+            ], lambda x: x IS NOT NULL) AS texts
+        FROM rows WHERE known GROUP BY asset_path, specification), {_TOLD}"""
 ORACLE["set_summary"] = f"""{CATALOG}, {_SETS} SELECT specification, count(*) AS n_assets,
     count(*) FILTER (WHERE len(texts) = 0 AND n_file_errors = 0) AS n_valid_assets,
     CAST(sum(n_files) AS BIGINT) AS n_files,
