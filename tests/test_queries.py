@@ -30,6 +30,9 @@ SAMPLE = (
     "search_frame_gaps",
     "search_group_concat",
     "progress_latest",
+    "catalog_update",
+    "catalog_changes",
+    "search_recursive",
 )
 
 
