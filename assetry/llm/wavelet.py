@@ -235,16 +235,15 @@ def write(
         def close():
             nonlocal doc_ids, rows, size, shard
             lengths = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-            data = shard_bytes(
-                np.frombuffer(b"".join(rows), dtype="<u4"), doc_ids, np.cumsum(lengths) - lengths
-            )
+            joined, rows = b"".join(rows), []
+            data = shard_bytes(np.frombuffer(joined, dtype="<u4"), doc_ids, np.cumsum(lengths) - lengths)
             name = f"{folder}/{task:06}-{shard:06}-{uuid.uuid4().hex}.wavelet"
             store, inner = open_store(name)
             store.create_dir(inner.rpartition("/")[0], recursive=True)
             with store.open_output_stream(inner) as out:
                 out.write(data)
             row = (task, shard, name, len(doc_ids), size, len(data))
-            doc_ids, rows, size, shard = [], [], 0, shard + 1
+            doc_ids, size, shard = [], 0, shard + 1
             return batch_of(arrow, [row])
 
         for batch in batches:
@@ -287,7 +286,8 @@ def with_starts(shards: DataFrame) -> DataFrame:
 def read(shards: DataFrame) -> DataFrame:
     """Documents of shard files: (doc_id, start, n_tokens, ids), `start` the ids of
     all documents before, `ids` unsigned 32-bit little-endian.  A shard is read by
-    one task, and its documents stream out in groups."""
+    one task, and its documents stream out in groups.  Where shards are small, a task
+    reads several: half a full shard's ids each, or a task for each core."""
     schema = "doc_id long, start long, n_tokens long, ids binary"
     arrow = arrow_schema(schema)
 
@@ -315,7 +315,9 @@ def read(shards: DataFrame) -> DataFrame:
                     )
                 shard.close()
 
-    n = max(1, shards.count())
+    n, n_tokens = shards.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    cores = shards.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(n, max(cores, -(-2 * n_tokens // SHARD_TOKENS))))
     return with_starts(shards).select("path", "start").repartition(n).mapInArrow(run, schema)
 
 

@@ -43,6 +43,17 @@ def test_word_encoder_equals_the_library():
     assert encoder.encode_batch(texts) == [ids_of(plain, t) for t in texts]
 
 
+def test_word_encoder_holds_a_bounded_part():
+    """Also within one text, and of chunks of any length."""
+    encoder, plain = WordEncoder(tokenizer_path()), library("word_bpe_49k.json")
+    encoder.LIMIT = 50
+    words = [f"w{i}x{i}," for i in range(500)]
+    texts = [" ".join([*words, "often", "1a" * 5000]), " ".join(f"often {w}" for w in words)]
+    assert encoder.encode_batch(texts) == [ids_of(plain, t) for t in texts]
+    assert len(encoder) <= 50
+    assert max(map(len, encoder)) <= 64
+
+
 def test_special_tokens_in_other_case():
     """Only the exact spelling is a control token, in ASCII texts too."""
     encoder, plain = WordEncoder(tokenizer_path()), library("word_bpe_49k.json")
@@ -124,6 +135,20 @@ def test_wavelet_files(spark, tmp_path):
     assert wavelet.read(wavelet.write(frame(spark, rows).limit(0))).count() == 0
 
 
+def test_small_shards_are_read_together(spark, monkeypatch):
+    shards = wavelet.write(frame(spark, odd_texts()), shard_tokens=500)
+    n, tokens = shards.count(), shards.groupBy().sum("n_tokens").first()[0]
+    cores = spark.sparkContext.defaultParallelism
+    assert n > cores
+    few = wavelet.read(shards)
+    assert few.rdd.getNumPartitions() == cores
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 2 * tokens // (cores + 1))
+    many = wavelet.read(shards)
+    assert cores < many.rdd.getNumPartitions() <= n
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert sum(r.n_tokens for r in few.collect()) == tokens
+
+
 @pytest.mark.parametrize("n", [0, 1, 1000, 5000])
 def test_wavelet_queries(tmp_path, n, monkeypatch):
     monkeypatch.setattr(wavelet, "BLOCK_BITS", 1 << 9)
