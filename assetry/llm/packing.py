@@ -81,7 +81,7 @@ def pack(
 
         return turn
 
-    return map_batches(docs.select("doc_id", "text"), make, PIECES)
+    return map_batches(docs.select("doc_id", "text"), make, PIECES, encodes=True)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -44,6 +44,8 @@ from assetry.llm.common import (
     saved,
     slices,
     tidy,
+    trim,
+    trimmed,
     window_hashes,
 )
 
@@ -67,23 +69,27 @@ def _read(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(blob, dtype=kind)
 
 
-def _batches(batches, columns):
+def _batches(batches, columns, window):
     """Documents in groups of about BATCH_WORDS words: lists of the columns, and the
-    words of each."""
+    hashes of each one's words, none for documents without a whole window.  A word is
+    hashed as it comes, so the words of one document are held at a time."""
     give_back()
+    hashes = WordHashes()
     group, words, size = [], [], 0
     for batch in batches:
         for part in slices(batch):
             for row in zip(*(part.column(c).to_pylist() for c in columns)):
                 own = byte_words(row[-1])
                 group.append(row[:-1])
-                words.append(own)
+                words.append(hashes.of(own if len(own) >= window else []))
                 size += len(own)
                 if size >= BATCH_WORDS or len(group) >= BATCH_DOCS:
                     yield group, words
                     group, words, size = [], [], 0
     if group:
         yield group, words
+    del hashes, group, words
+    trim()
 
 
 def _runs_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,15 +129,15 @@ def _keys_blob(group) -> bytes:
 
 class _Runs:
     """Hashes of all block-long runs of a batch of documents, of documents that
-    have a whole window only."""
+    have a whole window only.  `words` are hashed already where `hashes` is None."""
 
-    def __init__(self, hashes: WordHashes, words: list[list[bytes]], window: int):
+    def __init__(self, hashes: WordHashes | None, words: list, window: int):
         self.block = (window + 1) // 2
         self.doc = np.array([i for i, w in enumerate(words) if len(w) >= window], dtype=np.int64)
         self.sizes = np.array([len(words[i]) for i in self.doc], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         row = (
-            np.concatenate([hashes.of(words[i]) for i in self.doc])
+            np.concatenate([words[i] if hashes is None else hashes.of(words[i]) for i in self.doc])
             if len(self.doc)
             else np.zeros(0, dtype=np.uint64)
         )
@@ -152,41 +158,43 @@ def _codes(hashes: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_probes(n_parts: int, window: int):
-    def run(batches):
-        hashes = WordHashes()
-        for number, (group, words) in enumerate(_batches(batches, ("k1", "k2", "text"))):
-            runs = _Runs(hashes, words, window)
-            batch, rows = _batch_id(group, number), []
-            part, low = _codes(runs.hash, n_parts)
-            code = part.astype(np.uint64) << np.uint64(32) | low
-            block = runs.at % runs.block == 0
-            order, starts, run_of = _runs_of_equal(code)
-            if len(starts):
-                size = np.diff(np.append(starts, len(order)))
-                indexed = np.maximum.reduceat(block[order].view(np.uint8), starts) > 0
-                decided = (size >= 2) & indexed
-            else:
-                indexed = decided = np.zeros(0, dtype=bool)
-            # decided here: the documents know; one entry tells the others
-            of_row = decided[run_of] if len(order) else np.zeros(0, dtype=bool)
-            mine = order[of_row]
+    def turn(number, group, words):
+        runs = _Runs(None, words, window)
+        batch, rows = _batch_id(group, number), []
+        part, low = _codes(runs.hash, n_parts)
+        code = part.astype(np.uint64) << np.uint64(32) | low
+        block = runs.at % runs.block == 0
+        order, starts, run_of = _runs_of_equal(code)
+        if len(starts):
+            size = np.diff(np.append(starts, len(order)))
+            indexed = np.maximum.reduceat(block[order].view(np.uint8), starts) > 0
+            decided = (size >= 2) & indexed
+        else:
+            indexed = decided = np.zeros(0, dtype=bool)
+        # decided here: the documents know; one entry tells the others
+        of_row = decided[run_of] if len(order) else np.zeros(0, dtype=bool)
+        mine = order[of_row]
+        rows.append((
+            batch % n_parts, batch, _OWN, _keys_blob(group),
+            _blob(runs.doc[runs.of_doc[mine]], "<u2"), _blob(code[mine], "<u8"),
+        ))
+        first = order[starts[decided]] if len(starts) else order[:0]
+        other = order[~of_row]
+        sent = np.concatenate((first, other))
+        who = np.concatenate(
+            (np.full(len(first), _NOBODY), runs.doc[runs.of_doc[other]])
+        )
+        is_block = np.concatenate((np.ones(len(first), bool), block[other]))
+        for p, own in _split(part[sent], n_parts):
+            flags = np.packbits(is_block[own], bitorder="little").tobytes()
             rows.append((
-                batch % n_parts, batch, _OWN, _keys_blob(group),
-                _blob(runs.doc[runs.of_doc[mine]], "<u2"), _blob(code[mine], "<u8"),
+                p, batch, _PROBES, _blob(low[sent[own]], "<u4"), _blob(who[own], "<u2"), flags,
             ))
-            first = order[starts[decided]] if len(starts) else order[:0]
-            other = order[~of_row]
-            sent = np.concatenate((first, other))
-            who = np.concatenate(
-                (np.full(len(first), _NOBODY), runs.doc[runs.of_doc[other]])
-            )
-            is_block = np.concatenate((np.ones(len(first), bool), block[other]))
-            for p, own in _split(part[sent], n_parts):
-                flags = np.packbits(is_block[own], bitorder="little").tobytes()
-                rows.append((
-                    p, batch, _PROBES, _blob(low[sent[own]], "<u4"), _blob(who[own], "<u2"), flags,
-                ))
-            yield batch_of(arrow_schema(_SENT), rows)
+        return batch_of(arrow_schema(_SENT), rows)
+
+    def run(batches):
+        for number, (group, words) in enumerate(_batches(batches, ("k1", "k2", "text"), window)):
+            yield turn(number, group, words)
 
     return run
 
@@ -252,50 +260,52 @@ def _windows_at(covered_from: np.ndarray, back: int, n: int) -> np.ndarray:
 def _send_windows(n_parts: int, window: int):
     block = (window + 1) // 2
 
-    def run(batches):
-        hashes = WordHashes()
-        for number, (group, words) in enumerate(_batches(batches, ("k1", "k2", "anchors", "text"))):
-            runs = _Runs(hashes, words, window)
-            batch, rows = _batch_id(group, number), []
-            part, low = _codes(runs.hash, n_parts)
-            code = part.astype(np.uint64) << np.uint64(32) | low
-            ends = np.searchsorted(runs.of_doc, np.arange(len(runs.doc) + 1))
-            who, at, places = [], [], []
-            for i, d in enumerate(runs.doc.tolist()):
-                own = code[ends[i] : ends[i + 1]]
-                anchors = _read(group[d][2], "<u8")
-                found = np.searchsorted(anchors, own)
-                hit = np.flatnonzero(anchors[np.minimum(found, len(anchors) - 1)] == own)
-                starts = _windows_at(hit, window - block, int(runs.sizes[i]) - window + 1)
-                who.append(np.full(len(starts), d, dtype=np.uint16))
-                at.append(starts)
-                places.append(starts + runs.starts[i])
-            who = np.concatenate(who) if who else np.zeros(0, np.uint16)
-            at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            place = np.concatenate(places) if places else np.zeros(0, np.int64)
-            left, right = runs.all[place], runs.all[place + window - block]
-            high = joined_hash(left, right)
-            tail = (mixed(right * np.uint64(0xD6E8FEB86659FD93) + left) & np.uint64(0xFFFF)).astype(np.uint16)
-            # decided here: the places that stand twice pass with the batch's own row;
-            # one entry of each window tells the others
-            order, starts, run_of = _runs_of_equal(tail, high)
-            twice = np.diff(np.append(starts, len(order))) >= 2
-            of_row = twice[run_of]
+    def turn(number, group, words):
+        runs = _Runs(None, words, window)
+        batch, rows = _batch_id(group, number), []
+        part, low = _codes(runs.hash, n_parts)
+        code = part.astype(np.uint64) << np.uint64(32) | low
+        ends = np.searchsorted(runs.of_doc, np.arange(len(runs.doc) + 1))
+        who, at, places = [], [], []
+        for i, d in enumerate(runs.doc.tolist()):
+            own = code[ends[i] : ends[i + 1]]
+            anchors = _read(group[d][2], "<u8")
+            found = np.searchsorted(anchors, own)
+            hit = np.flatnonzero(anchors[np.minimum(found, len(anchors) - 1)] == own)
+            starts = _windows_at(hit, window - block, int(runs.sizes[i]) - window + 1)
+            who.append(np.full(len(starts), d, dtype=np.uint16))
+            at.append(starts)
+            places.append(starts + runs.starts[i])
+        who = np.concatenate(who) if who else np.zeros(0, np.uint16)
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        left, right = runs.all[place], runs.all[place + window - block]
+        high = joined_hash(left, right)
+        tail = (mixed(right * np.uint64(0xD6E8FEB86659FD93) + left) & np.uint64(0xFFFF)).astype(np.uint16)
+        # decided here: the places that stand twice pass with the batch's own row;
+        # one entry of each window tells the others
+        order, starts, run_of = _runs_of_equal(tail, high)
+        twice = np.diff(np.append(starts, len(order))) >= 2
+        of_row = twice[run_of]
+        rows.append((
+            batch % n_parts, batch, _OWN, _keys_blob(group),
+            who.tobytes(), _blob(at, "<u4"),
+        ))
+        rows.append((batch % n_parts, batch, _DECIDED, b"", b"", _blob(order[of_row], "<u4")))
+        first, other = order[starts[twice]], np.sort(order[~of_row])
+        sent = np.concatenate((first, other))
+        index = np.concatenate((np.full(len(first), _NO_PLACE), other))
+        to = (high[sent] % np.uint64(n_parts)).astype(np.int64)
+        for p, own in _split(to, n_parts):
             rows.append((
-                batch % n_parts, batch, _OWN, _keys_blob(group),
-                who.tobytes(), _blob(at, "<u4"),
+                p, batch, _PROBES, _blob(high[sent[own]], "<u8"), _blob(tail[sent[own]], "<u2"),
+                _blob(index[own], "<u4"),
             ))
-            rows.append((batch % n_parts, batch, _DECIDED, b"", b"", _blob(order[of_row], "<u4")))
-            first, other = order[starts[twice]], np.sort(order[~of_row])
-            sent = np.concatenate((first, other))
-            index = np.concatenate((np.full(len(first), _NO_PLACE), other))
-            to = (high[sent] % np.uint64(n_parts)).astype(np.int64)
-            for p, own in _split(to, n_parts):
-                rows.append((
-                    p, batch, _PROBES, _blob(high[sent[own]], "<u8"), _blob(tail[sent[own]], "<u2"),
-                    _blob(index[own], "<u4"),
-                ))
-            yield batch_of(arrow_schema(_SENT), rows)
+        return batch_of(arrow_schema(_SENT), rows)
+
+    def run(batches):
+        for number, (group, words) in enumerate(_batches(batches, ("k1", "k2", "anchors", "text"), window)):
+            yield turn(number, group, words)
 
     return run
 
@@ -374,18 +384,18 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_parts = max(least, chars // (5 * GROUP_HASHES) + 1)
 
     probes = texts.mapInArrow(_send_probes(n_parts, window), _SENT)
-    answers = probes.groupBy("part").applyInArrow(_find_anchors, _ANSWER)
+    answers = probes.groupBy("part").applyInArrow(trimmed(_find_anchors), _ANSWER)
     anchors = saved(
-        answers.groupBy("batch").applyInArrow(_anchors_of_docs, _ANCHORS).dropDuplicates(["k1", "k2"]),
+        answers.groupBy("batch").applyInArrow(trimmed(_anchors_of_docs), _ANCHORS).dropDuplicates(["k1", "k2"]),
         "anchors",
     )
     tidy(spark)
     around = texts.join(anchors, ["k1", "k2"]).select("k1", "k2", "anchors", "text")
     windows = around.mapInArrow(_send_windows(n_parts, window), _SENT)
-    found = windows.groupBy("part").applyInArrow(_find_repeats, _ANSWER)
+    found = windows.groupBy("part").applyInArrow(trimmed(_find_repeats), _ANSWER)
     ranges = saved(
         found.groupBy("batch")
-        .applyInArrow(_ranges_of_docs(window), _RANGES)
+        .applyInArrow(trimmed(_ranges_of_docs(window)), _RANGES)
         .dropDuplicates(["k1", "k2"]),
         "repeats",
     )

@@ -227,7 +227,7 @@ def write(
     def run(batches):
         from pyspark import TaskContext
 
-        give_back()
+        give_back(keep_encoder=True)
         task, shard = TaskContext.get().partitionId(), 0
         encoder = word_encoder(path, whole_texts)
         doc_ids, rows, size = [], [], 0

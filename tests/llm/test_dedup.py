@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -45,6 +46,22 @@ def test_random_repeats(spark, monkeypatch, window):
     }
 
 
+def test_a_batch_holds_hashes_not_words(monkeypatch):
+    """Words of a batch of documents, of 50 bytes and more each, are not held together."""
+    monkeypatch.setattr(substring, "BATCH_WORDS", 1 << 16)
+    monkeypatch.setattr(WordHashes, "LIMIT", 1000)
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(200)]
+    columns = [{"k1": [i] * 20, "k2": [i] * 20, "text": texts[i : i + 20]} for i in range(0, 200, 20)]
+    tracemalloc.start()
+    try:
+        for _ in substring._send_probes(8, 35)(map(pa.RecordBatch.from_pydict, columns)):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200 * substring.BATCH_WORDS
+
+
 def test_windows_of_a_batch_go_out_once():
     """A passage of many documents costs one entry for each of its windows and batch."""
     passage = [f"p{k}" for k in range(60)]

@@ -4,11 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from assetry.llm import bpe, packing, wavelet
-from assetry.llm.tokens import WordEncoder, tokenizer_path
+from assetry.llm import bpe, packing, substring, wavelet
+from assetry.llm.common import give_back
+from assetry.llm.tokens import WordEncoder, tokenizer_path, word_encoder
 from tests.llm.plain import frame, odd_texts
 
 LETTERS = "aaabbe  \n\t\x1c\x85\xa0'sStiér日本👍🏽́ͅ0123½.,!?<|endoftext|>ßΣς"
@@ -54,6 +56,16 @@ def test_word_encoder_holds_a_bounded_part():
     assert max(map(len, encoder)) <= 64
 
 
+def test_encoder_goes_with_the_next_operators_task():
+    """A worker that has packed does not carry the words through other stages."""
+    batch = pa.RecordBatch.from_pydict({"k1": [1], "k2": [2], "text": ["a b " * 40]})
+    word_encoder(tokenizer_path()).encode_batch(["some words"])
+    give_back(keep_encoder=True)
+    assert word_encoder.cache_info().currsize == 1
+    assert len(list(substring._send_probes(4, 35)(iter([batch])))) == 1
+    assert word_encoder.cache_info().currsize == 0
+
+
 def test_special_tokens_in_other_case():
     """Only the exact spelling is a control token, in ASCII texts too."""
     encoder, plain = WordEncoder(tokenizer_path()), library("word_bpe_49k.json")
