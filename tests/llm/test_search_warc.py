@@ -67,6 +67,28 @@ def test_large_components(spark):
     ]
 
 
+def test_top_k_sends_no_block_to_the_driver(spark, monkeypatch):
+    """Blocks go to slots by a shuffle, however small Spark takes them for, and slots are even."""
+    monkeypatch.setattr(topk, "SHARD", 8)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    monkeypatch.setattr(topk, "GROUP", 3)
+    monkeypatch.setattr(topk, "TASKS", 0)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(4)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=7)
+    tree = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :|+-")) for x in tree]
+    for i, line in enumerate(tree):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(tree)) if depth[j] <= depth[i]), len(tree))
+            assert not any("Generate" in x or "parquet" in x for x in tree[i + 1 : below])
+    assert collected(got) == plain_top(rows, [r for r in rows if r[0] % 20 == 0], 7)
+    dealt, slots = topk._in_slots(topk.saved(topk._packed(df, 8, 64.0), "shards"))
+    sizes = [r["count"] for r in dealt.groupBy("slot").count().collect()]
+    assert len(sizes) == slots and max(sizes) <= 3 and max(sizes) - min(sizes) <= 1
+
+
 def pages():
     rng = random.Random(2)
     common = "<html>common</html>"
