@@ -1,4 +1,5 @@
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from assetry.plans import catalog as plans
 from assetry.sources import listing, traits
 from assetry.specs import (
     EXAMPLE_SPECS,
+    LISTING_SPECS,
     SHIPPED_SPECS,
     SMALL_SPECS,
     Spec,
@@ -257,3 +259,31 @@ def test_documents_do_not_depend_on_their_size(catalog):
     keys = publish.object_keys(catalog, "/out", "c", part_size=2).where("kind = 'asset'")
     targets = publish.document_targets(publish.asset_metadata(catalog, "/out", 2), "asset", ["part"], "/out")
     assert {r.source for r in keys.collect()} == {r.target for r in targets.collect()}
+
+
+def test_ids_of_asset_documents_are_made_after_the_shuffle(spark):
+    """Digests cannot be compressed, so rows travel by their paths."""
+    rows = [(f"/r/{d}/{d}_f{f:04}.jpg", f"{d}_f{f:04}.jpg", "jpg", 4, 5, 3)
+            for d in ("p-proj001_s-spec002_d-a_v001", "p-proj001_s-spec002_d-b_v001") for f in (1, 2, 3)]
+    listing = spark.createDataFrame(
+        rows, "filepath string, filename string, extension string, width int, height int, channels int"
+    )
+    docs = publish.asset_metadata(plans.update(listing, LISTING_SPECS, "/r"), "/s", 2)
+    names = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(names, "1000")
+    try:
+        tree = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset(names)
+    depth = [len(x) - len(x.lstrip(" :|+-")) for x in tree]
+    grouped = [i for i, x in enumerate(tree) if x.lstrip(" :|+-").startswith("Aggregate")]
+    for i in grouped:
+        below = next((j for j in range(i + 1, len(tree)) if depth[j] <= depth[i]), len(tree))
+        assert not any("md5" in x for x in tree[i:below])
+    assert grouped
+    found = {(r.asset_id, r.part): r.file_ids for r in docs.collect()}
+    for d in ("a", "b"):
+        asset = f"/r/p-proj001_s-spec002_d-{d}_v001"
+        ids = [str(uuid.uuid3(uuid.NAMESPACE_URL, f"{asset}{asset[2:]}_f{f:04}.jpg")) for f in (1, 2, 3)]
+        key = str(uuid.uuid3(uuid.NAMESPACE_URL, asset))
+        assert found[key, 0] == ids[:2] and found[key, 1] == ids[2:]
