@@ -65,6 +65,49 @@ def test_an_update_equals_a_whole_one(spark, store):
     }
 
 
+def test_buckets_are_worked_on_in_turns(spark, store, monkeypatch):
+    """One bucket at a time if need be, with the same rows, and nothing is left but the versions."""
+    from assetry.plans import store as stores
+
+    calls = []
+    real = stores.validate_assets
+    monkeypatch.setattr(stores, "TURN", 1, raising=False)
+    monkeypatch.setattr(stores, "validate_assets", lambda *a: calls.append(1) or real(*a))
+    kept = set(os.listdir(tables.shared_folder(spark)))
+    first = named(spark, assets(1, 2, 3)).unionByName(named(spark, [("misc", 1)]))
+    store.update(first, LISTING_SPECS, "/r")
+    assert len(calls) == len(store.version().segments) > 3
+    assert content(store.read()) == content(plans.update(first, LISTING_SPECS, "/r"))
+    kept |= {n for n in os.listdir(tables.shared_folder(spark)) if n.startswith("files-")}  # of plans.update
+    del calls[:]
+    gone = F.col("filepath").rlike("d-[a-e]_.*f0002")
+    second = first.where(~gone).unionByName(named(spark, [("p-proj001_s-spec002_d-z_v001", 4)], width=7))
+    before = store.version()
+    after = store.update(second, LISTING_SPECS, "/r")
+    moved = {b for b in before.segments.keys() | after.segments.keys() if before.segments.get(b) != after.segments.get(b)}
+    assert len(calls) == len(moved) > 2
+    assert set(os.listdir(tables.shared_folder(spark))) == kept
+    assert content(store.read()) == content(plans.update(second, LISTING_SPECS, "/r"))
+
+
+def test_rows_without_a_path_and_paths_that_come_twice(spark, store):
+    """Of a path in two buckets both rows are renewed where one differs; rows without a path stay."""
+    rows = [
+        ("/r/x/a.jpg", "p-proj001_s-spec002_d-a_v001_f0001.jpg", 4), ("/r/x/a.jpg", "p-proj001_s-vdb001_d-a_v001.vdb", 4),
+        ("/r/x/b.jpg", "b.jpg", 4), ("/r/x/b.jpg", "b.jpg", 4), (None, None, 4), (None, "c.jpg", 4),
+    ]
+    table = spark.createDataFrame(rows, "filepath string, filename string, width int")
+    table = table.selectExpr("*", "'jpg' AS extension", "5 AS height", "3 AS channels")
+    store.update(table, LISTING_SPECS, "/r")
+    assert content(store.read()) == content(plans.update(table, LISTING_SPECS, "/r"))
+    wide = F.when(F.col("filename").contains("vdb001"), 9).otherwise(F.col("width"))
+    second = table.where("filepath IS NOT NULL").withColumn("width", wide)
+    store.update(second, LISTING_SPECS, "/r")
+    without = [x for x in content(store.read(1)) if "filepath=None" in x]
+    assert len(without) == 2
+    assert content(store.read()) == sorted(content(plans.update(second, LISTING_SPECS, "/r")) + without)
+
+
 def test_nothing_new_is_no_version(spark, store):
     table = named(spark, assets(1, 2))
     store.update(table, LISTING_SPECS, "/r")
