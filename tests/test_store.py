@@ -90,6 +90,42 @@ def test_buckets_are_worked_on_in_turns(spark, store, monkeypatch):
     assert content(store.read()) == content(plans.update(second, LISTING_SPECS, "/r"))
 
 
+def test_a_listing_is_read_once(spark, store):
+    """A batch of a stream would run its query again each time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for n in (2, 3):
+        table = named(spark, assets(*range(n)))
+        before = seen.value
+        store.update(table.mapInArrow(counted, table.schema), LISTING_SPECS, "/r")
+        assert seen.value - before == 8 * n
+    assert store.read().count() == 24
+
+
+def test_the_listing_streams_in_four_batches_of_several_files(spark, tmp_path, monkeypatch):
+    from assetry.plans import queries
+
+    monkeypatch.setattr(queries, "STREAM_ROWS", 50, raising=False)
+    rows = [(i // 5, i * 7 % 997, i % 5) for i in range(1000)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    stream = queries._listing_stream(spark, str(tmp_path), f"{tmp_path}/s")
+    names = sorted((tmp_path / "s" / "listing").glob("part-*"), key=os.path.getmtime)
+    assert len(names) == 20  # of 1000 / (4 * 50) files each
+    listed = queries._listing(spark, str(tmp_path)).drop("ok", "ln")
+    for i in range(4):
+        parts = [1, 3] if i == 3 else [i]
+        want = listed.where((F.col("pk") % 4).isin(parts)).drop("pk")
+        batch = spark.read.parquet(*map(str, names[5 * i : 5 * i + 5]))
+        assert batch.columns == stream.columns
+        assert sorted(map(str, batch.drop("listed_at").collect())) == sorted(map(str, want.collect()))
+
+
 def test_rows_without_a_path_and_paths_that_come_twice(spark, store):
     """Of a path in two buckets both rows are renewed where one differs; rows without a path stay."""
     rows = [
