@@ -1,4 +1,5 @@
 import errno
+import hashlib
 import json
 import os
 
@@ -240,3 +241,15 @@ def test_progress(spark, tmp_path):
     finally:
         q.stop()
     assert {r.name: r.message for r in rows} == {"a": "a 2", "b": "b 1"}
+
+
+def test_the_export_query_in_a_shared_folder_with_a_scheme(spark, tmp_path, monkeypatch):
+    from assetry.plans import queries
+
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    rows = [(i, f"part {i}", "brand") for i in (1, 3, 4, 12)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES["export_disk"](spark, str(tmp_path)).collect()
+    # 3 has another extension, and 4 a name that does not parse
+    digests = {hashlib.sha256(f"part {i}".encode()).hexdigest() for i in (1, 12)}
+    assert len(got) == 2 and {r.sha256 for r in got} == digests
